@@ -8,7 +8,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text handled at once in a Python worker, whatever the size of the Arrow batch that arrives.
 SLICE_BYTES = 8 << 20
@@ -28,6 +29,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def apart(key: Column) -> Column:
+    """A long key as a value that the planner doesn't know to be partitioned, so that a join on it deals both sides anew and may split a hot key."""
+    return key.bitwiseXOR(F.lit(0).cast("long"))
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about `most` bytes of text (one row at least)."""
     for batch in batches:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placelake.llm.common import checkpoint
+from placelake.llm.common import apart, checkpoint
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,9 +50,9 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
     before = None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select(apart(F.col("a")).alias("k"), F.least("a", "m").alias("m"))
         large = both.join(least, both.a == least.k).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
+        low = large.groupBy("a").agg(F.min("b").alias("m")).select(apart(F.col("a")).alias("k"), "m")
         small = large.join(low, large.a == low.k).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = checkpoint(small.unionByName(low.select(F.col("k").alias("a"), F.col("m").alias("b"))).distinct())
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -7,19 +7,41 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placelake.llm import language, secrets, sharding, simhash, tokens
+from placelake.llm import chat, covertree, decontaminate, language, mixing, paragraphs, secrets, sharding, simhash, tokens
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Shares of expected tokens: text that is good and clean mostly, some that is plain, none that is toxic.
+WEIGHTS = {"good clean": 0.85, "plain clean": 0.15}
+
+
+def domains(labels: DataFrame) -> DataFrame:
+    """(doc_id, domain) of the labels table; a null in either label leaves a row out."""
+    name = F.concat_ws(" ", F.when(F.col("quality") == 1, "good").otherwise("plain"), F.when(F.col("toxic") == 1, "toxic").otherwise("clean"))
+    return labels.where("quality is not null and toxic is not null").select("doc_id", name.alias("domain"))
+
+
+def op1_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_preferences(chat.against_neighbour(read(spark, sf_dir, "conversations")))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").withColumn("repository", F.concat_ws("/", "source", "lang"))
     found = secrets.scan(docs, owner="source", repository="repository")
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), F.col("all_spans").alias("spans"), "n_live", "n_copied")
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_vectors(read(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
@@ -31,6 +53,16 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_tokens(spark, tokens.write_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2))
 
 
+def op7_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated, names = mixing.mix(read(spark, sf_dir, "documents"), domains(read(spark, sf_dir, "labels")), WEIGHTS)
+    columns = [F.round(F.col("p")[k], 6).alias("p_" + d.replace(" ", "_")) for k, d in enumerate(names)]
+    return rated.select("doc_id", "tokens", *columns, F.round("rate", 6).alias("rate"), "copies")
+
+
+def op8_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated_passages(read(spark, sf_dir, "documents")).drop("row_id")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = sharding.ring_shards(read(spark, sf_dir, "documents"), n_shards=16, per_shard=64)
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "home_shard")
@@ -44,7 +76,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_secret_scan, op5_simhash_dedup, op6_token_output, op9_sharding, op10_language_id)}
+    return {f.__name__: f for f in (op1_preference_chat, op2_decontamination, op3_secret_scan, op4_embedding_dedup, op5_simhash_dedup, op6_token_output, op7_soft_mixing, op8_paragraph_dedup, op9_sharding, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
