@@ -71,7 +71,7 @@ def scan(docs: DataFrame, owner: str = "owner", repository: str = "repository",
     hits = hits.select("id", "owner", "repository", "s", F.col("s.hash").alias("hash"))
     held = hits.groupBy("hash", "owner", "repository").agg(F.count("*").alias("n")).groupBy("hash", "owner").agg(F.count("*").alias("repositories"))
     held = held.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
-    held = held.withColumn("of", F.reverse(F.reverse("hash")))  # not known to be partitioned: a hot hash can be split
+    held = held.select(F.reverse(F.reverse("hash")).alias("of"), "owners", "repositories")  # not known to be partitioned: a hot hash can be split
     told = hits.join(held, hits["hash"] == held["of"]).where((F.col("s.kind") < 3) | (F.col("owners") <= live_owners))
     per_row = told.groupBy("id").agg(
         F.collect_list("s").alias("found"), F.sum((F.col("owners") <= live_owners).cast("long")).alias("n_live"), F.sum((F.col("owners") >= copied_owners).cast("long")).alias("n_copied"),
