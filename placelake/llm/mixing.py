@@ -3,7 +3,7 @@
 A Bernoulli naive-Bayes classifier over the most telling words of labelled documents gives every document a posterior over
 domains. Projected gradient descent then finds nonnegative rates, one for each document, whose expected tokens by domain
 (tokens times rate times posterior) match targets in least squares. A step moves a document's rate by its posterior times
-the domains' residuals, which are a handful of sums over the corpus; rates start at 1 and are floored at 0.
+the domains' residuals, scaled, which are a handful of sums over the corpus; rates start at 1 and are floored at 0.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from placelake.llm.common import checkpoint
 
 #: Labelled rows that the classifier is fitted on at most (about: drawn by hash), and words that it looks at at most.
-TRAIN_ROWS, WORDS = 20_000, 2_000
+TRAIN_ROWS, WORDS = 8_000, 2_000
 #: What a word must tell at least: half its G statistic, and its rate in some domain as a multiple of its rate overall. So
 #: words that fell to one domain by chance are left out, and common ones that only tell long texts from short ones.
 GAIN, LIFT = 15.0, 2.5
@@ -32,13 +32,18 @@ class Classifier:
 
 
 def words_of(text: Column) -> Column:
-    return F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), SPACE))
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), SPACE)
+
+
+def distinct_hashes(words: Column) -> Column:
+    """A text's words as distinct hashes; among strings, distinct elements are found by comparing all pairs."""
+    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_ROWS, most_words: int = WORDS) -> Classifier:
     """Learn from docs (doc_id, text) and labels (doc_id, domain). Rows with a null in either label column teach nothing.
 
-    The driver gets sums by word and domain for `most_words` words, and the number of documents of each domain.
+    The driver gets counts by word and domain for `most_words` words, and the number of documents of each domain.
     """
     told = labels.where("doc_id is not null and domain is not null").select(F.col("doc_id").cast("long").alias("l_id"), F.col("domain").cast("string").alias("domain")).dropDuplicates(["l_id"])
     total = told.count()
@@ -48,7 +53,9 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_ROWS, most_wo
     # near copies share their least hash of a long word, mostly, and count once: their words would pass for telling ones
     words = rows.select("domain", "doc_id", words_of(F.col("text")).alias("ws"))
     kin = F.coalesce(F.array_min(F.transform(F.filter("ws", lambda w: F.char_length(w) >= 7), lambda w: F.xxhash64(w))), F.xxhash64("doc_id"))
-    words = checkpoint(words.select("domain", kin.alias("kin"), F.explode("ws").alias("w")).select("domain", "kin", F.xxhash64("w").alias("w")).distinct())
+    # what stands beside explode() in one select is worked out for each word; so it comes before
+    words = words.select("domain", kin.alias("kin"), distinct_hashes(F.col("ws")).alias("hs"))
+    words = checkpoint(words.select("domain", "kin", F.explode("hs").alias("w")).distinct())
     seen = words.groupBy("w", "domain").agg(F.count("*").alias("n"))
     n_docs = {r.domain: r.n for r in words.select("domain", "kin").distinct().groupBy("domain").agg(F.count("*").alias("n")).collect()}
     domains = sorted(n_docs)
@@ -77,14 +84,15 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_ROWS, most_wo
 def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
     """doc_id, tokens, p (array of doubles in the order of model.domains), one row per row of docs (doc_id, text), read whole.
 
-    tokens counts white-space separated words; null and empty texts have none, and the posterior of a text without words.
+    tokens counts words, as the classifier splits them; null and empty texts have none, and the posterior of a text without words.
     """
     k = range(len(model.domains))
     schema = "h long, " + ", ".join(f"w{i} double" for i in k)
     table = F.broadcast(docs.sparkSession.createDataFrame(model.weights, schema))  # WORDS rows at most
-    rows = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("id"), F.size(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+")).alias("n"), F.col("text"))
-    rows = rows.select("doc_id", "id", F.when(F.coalesce(F.trim("text"), F.lit("")) == "", 0).otherwise(F.col("n")).cast("long").alias("tokens"), F.explode(words_of(F.col("text"))).alias("w"))
-    found = rows.select("doc_id", "id", "tokens", F.xxhash64("w").alias("w")).join(table, F.col("w") == F.col("h"), "left")
+    rows = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("id"), words_of(F.col("text")).alias("ws"))
+    rows = rows.select("doc_id", "id", F.size(F.filter("ws", lambda w: w != "")).cast("long").alias("tokens"), distinct_hashes(F.col("ws")).alias("hs"))
+    rows = rows.select("doc_id", "id", "tokens", F.explode("hs").alias("w"))
+    found = rows.join(table, F.col("w") == F.col("h"), "left")
     sums = found.groupBy("id", "doc_id", "tokens").agg(*(F.sum(f"w{i}").alias(f"s{i}") for i in k))
     logs = [F.coalesce(f"s{i}", F.lit(0.0)) + model.base[i] for i in k]
     sums = sums.select("doc_id", "tokens", F.array(*logs).alias("l"))
@@ -92,46 +100,36 @@ def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
     return sums.select("doc_id", "tokens", F.transform("l", lambda x: x / F.aggregate("l", F.lit(0.0), lambda a, y: a + y)).alias("p"))
 
 
-def _largest_eigenvalue(m: list[list[float]]) -> float:
-    v = [1.0] * len(m)
-    size = 1.0
-    for _ in range(100):
-        v = [sum(x * y for x, y in zip(row, v, strict=True)) for row in m]
-        size = max(map(abs, v)) or 1.0
-        v = [x / size for x in v]
-    return size
-
-
-def solve_rates(members: DataFrame, targets: list[float], rounds: int = 60, tolerance: float = 1e-3, cut_every: int = 12) -> DataFrame:
+def solve_rates(members: DataFrame, targets: list[float], rounds: int = 20, tolerance: float = 1e-3) -> DataFrame:
     """Add `rate` to members (doc_id, tokens, p): nonnegative rates whose expected tokens by domain fit `targets` (tokens).
 
-    Minimises the sum over domains of (expected - target)^2 / scale, scale being the larger of target and present tokens,
-    by projected gradient steps of length 1/L in a metric that gives each document weight in proportion to its tokens.
-    Every round is one aggregation; rates live in the table, whose lineage is cut every `cut_every` rounds. Ends when each
-    residual is within `tolerance` of its scale, or when it no longer moves.
+    Least squares by projected gradient steps from rate 1: a document's rate moves against its posterior times the
+    domains' residuals, each in units of the domain's present tokens, and is then projected on 0 and up. In those units
+    the Gram matrix of the documents has 1 as its largest eigenvalue, as posteriors add up to 1, so that steps of that
+    length never overshoot. The steps so far add up to a number for each domain, so that a rate is a function of a document's posterior and nothing is kept by document. Each round is one
+    aggregation. Ends when the residuals add up to `tolerance` of all tokens, when they have not lost a tenth in five
+    rounds, or after `rounds`.
     """
-    k = range(len(targets))
-    part = lambda i: F.col("p")[i]
-    tokens = F.col("tokens").cast("double")
-    first = members.agg(*(F.sum(tokens * part(i)) for i in k), *(F.sum(tokens * part(i) * part(j)) for i in k for j in k)).first()
-    now = [x or 0.0 for x in first[: len(targets)]]
-    scale = [max(a, b, 1.0) for a, b in zip(now, targets, strict=True)]
     n = len(targets)
-    matrix = [[(first[n + i * n + j] or 0.0) / (scale[i] * scale[j]) ** 0.5 for j in k] for i in k]
-    step = 1.0 / max(_largest_eigenvalue(matrix), 1e-12)
-    table = members.withColumn("rate", F.lit(1.0))
-    last = None
-    for t in range(rounds):
-        off = [(a - b) / s for a, b, s in zip(now, targets, scale, strict=True)]
-        if max(map(abs, off), default=0.0) <= tolerance or last is not None and max(abs(a - b) for a, b in zip(off, last, strict=True)) <= tolerance * 1e-3:
+    k = range(n)
+    flat = members.select(*(F.col("p")[i].alias(f"p{i}") for i in k), F.col("tokens").cast("double").alias("t"), "p")
+
+    def rate(at: list[float]) -> Column:
+        # by array, so that the compiled code is the same in every round
+        moved = F.zip_with("p", F.array(*(F.lit(float(x)) for x in at)), lambda x, y: x * y)
+        return F.greatest(F.lit(0.0), F.lit(1.0) - F.aggregate(moved, F.lit(0.0), lambda a, x: a + x))
+
+    now = [x or 0.0 for x in flat.agg(*(F.sum(F.col("t") * F.col(f"p{i}")) for i in k)).first()]
+    own = [x or 1.0 for x in now]
+    total, at, off = max(1.0, sum(targets)), [0.0] * n, []
+    for _ in range(rounds):
+        off.append(sum(abs(a - b) for a, b in zip(now, targets, strict=True)) / total)
+        if off[-1] <= tolerance or len(off) > 5 and off[-1] > 0.9 * off[-6]:
             break
-        last = off
-        move = sum((part(i) * off[i] for i in k), F.lit(0.0))
-        table = table.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - step * move))
-        if t % cut_every == cut_every - 1:
-            table = checkpoint(table)
-        now = [x or 0.0 for x in table.agg(*(F.sum(tokens * part(i) * F.col("rate")) for i in k)).first()]
-    return table
+        at = [x + (a - b) / g for x, a, b, g in zip(at, now, targets, own, strict=True)]
+        moved = flat.withColumn("r", rate(at))
+        now = [x or 0.0 for x in moved.agg(*(F.sum(F.col("t") * F.col(f"p{i}") * F.col("r")) for i in k)).first()]
+    return members.withColumn("rate", rate(at))
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], total: float = 1.0) -> tuple[DataFrame, list[str]]:
@@ -143,7 +141,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], total: fl
     """
     model = fit(docs, labels)
     if not model.domains:
-        size = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")).cast("long")
+        size = F.size(F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), SPACE), "")).cast("long")
         return docs.select(F.col("doc_id").cast("long"), size.alias("tokens"), F.expr("cast(array() as array<double>)").alias("p"), F.lit(1.0).alias("rate"), F.lit(1).cast("long").alias("copies")), []
     members = checkpoint(posteriors(docs, model))
     tokens = float(members.agg(F.sum("tokens")).first()[0] or 0)
