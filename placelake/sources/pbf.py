@@ -213,7 +213,7 @@ class PbfReader(DataSourceReader):
 
 
 class PbfSource(DataSource):
-    """spark.read.format("osm_pbf").load(path): all elements. Register with spark.dataSource.register(PbfSource)."""
+    """spark.read.format("osm_pbf").load(path): all elements. Make it known with register(spark)."""
 
     @classmethod
     def name(cls):
@@ -226,6 +226,12 @@ class PbfSource(DataSource):
         return PbfReader(self.options["path"], int(self.options.get("blobs", 8)))
 
 
+def register(spark) -> None:
+    """Make the source known; predicates on kind reach it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(PbfSource)
+
+
 # -- writing
 
 

@@ -36,7 +36,7 @@ def test_pbf_round_trip(spark, tmp_path):
     path = str(tmp_path / "x.osm.pbf")
     pbf.write_pbf(spark.createDataFrame(rows, pbf.SCHEMA), path, block=20, bbox=(9.4, 47.0, 9.7, 47.3), sequence=12)
     assert pbf.header(path)["bbox"] == (9.4, 47.0, 9.7, 47.3) and pbf.header(path)["sequence"] == 12
-    spark.dataSource.register(pbf.PbfSource)
+    pbf.register(spark)
     got = spark.read.format("osm_pbf").option("blobs", 2).load(path)
     back = sorted((r.kind, r.id, r.lon_e7, r.lat_e7, r.refs, [tuple(m) for m in r.members] if r.members else None, r.tags) for r in got.collect())
     assert back == sorted(rows, key=lambda r: (r[0], r[1]))
