@@ -481,10 +481,10 @@ def sampled_export(spark, sf_dir):
     return outputs.every_nth(places(spark, sf_dir).withColumn("country_code", F.col("nation")), 10, "place_id").select("nation", "place_id")
 
 
-_FEATURE = """select place_id, '#"type":"Feature","geometry":#"type":"Point","coordinates":[' || cast(round(lon, 7) as varchar) || ',' || cast(round(lat, 7) as varchar) || ']%,"properties":#"name":"' || name || '","osm_type":"N","osm_id":' || cast(osm_id as varchar) || ',"osm_key":"shop","osm_value":"' || osm_value || '","type":"poi","importance":' || cast(round(importance, 3) as varchar) || '%%' as f from p where layer_id = 1"""
+_FEATURE = """select place_id, '~"type":"Feature","geometry":~"type":"Point","coordinates":[' || cast(round(lon, 7) as varchar) || ',' || cast(round(lat, 7) as varchar) || ']^,"properties":~"name":"' || name || '","osm_type":"N","osm_id":' || cast(osm_id as varchar) || ',"osm_key":"shop","osm_value":"' || osm_value || '","type":"poi","importance":' || cast(round(importance, 3) as varchar) || '^^' as f from p where layer_id = 1"""
 
 
-@query(f"with p as ({PLACES}), f as ({_FEATURE}) select place_id, translate(f, '#%', chr(123) || chr(125)) as feature from f")
+@query(f"with p as ({PLACES}), f as ({_FEATURE}) select place_id, translate(f, '~^', chr(123) || chr(125)) as feature from f")
 def geojson_features(spark, sf_dir):
     p = places(spark, sf_dir).where("layer_id = 1").drop("housenumber").withColumn("qid", F.col("place_id")).withColumn("rank", F.lit(1))
     return outputs.features(p).select(F.col("qid").alias("place_id"), "feature")
