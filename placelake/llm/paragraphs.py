@@ -25,6 +25,8 @@ SHINGLE, LEAST_SENTENCE = 5, 8
 #: Bits of the filter that a second scan is sieved with; its size is fixed, joins after it are exact.
 FILTER_BITS = 1 << 24
 NEWLINE = "\x1e"
+#: Bytes of text cut at once: some fifteen arrays of its words and shingles are held beside it.
+SLICE = 2 << 20
 
 
 def tune_bands(similarity: float, recall: float) -> tuple[int, int]:
@@ -105,7 +107,7 @@ def band_keys(cut: Cut, bands: int, rows: int) -> np.ndarray:
 
 def _keyed(bands: int, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, most=SLICE):
             cut = Cut(batch.column("text"))
             if not len(cut.first):
                 continue
@@ -142,7 +144,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sieved(wanted: np.ndarray, compared: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, most=SLICE):
             cut = Cut(batch.column("text"))
             spot = (cut.content % np.uint64(FILTER_BITS)).astype(np.int64)
             in_ = lambda bits: bits[spot >> 3] >> (spot & 7).astype(np.uint8) & 1
