@@ -13,6 +13,7 @@ import types
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 from urllib.parse import urlparse
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from placelake.llm.common import flat_words, shared_dir, text_slices
 
 #: Words whose ids a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 1_000_000
 NO_ID = -(1 << 63)
 
 
@@ -33,46 +34,54 @@ def _kept() -> types.ModuleType:
     return sys.modules.setdefault("_placelake_kept", types.ModuleType("_placelake_kept"))
 
 
-def _word_ids(words: list[str], path: str, boundary: str | None, dtype: str) -> list[bytes]:
-    """Ids of each word, as bytes. Many words are encoded at once, set apart by a special token that then marks where words end."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+def _load(path: str, dtype: str) -> types.ModuleType:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
     kept = _kept()
     if getattr(kept, "path", None) != (path, dtype):
         from tokenizers import Tokenizer
 
         kept.path, kept.tokenizer, kept.words = (path, dtype), Tokenizer.from_file(path), {}
-    encode, seen = kept.tokenizer, kept.words
-    if len(seen) > REMEMBERED:
-        seen.clear()
-    new = [w for w in words if w not in seen]
-    mark = encode.token_to_id(boundary) if boundary else None
-    plain = [w for w in new if mark is not None and "<|" not in w]
-    alone = new if mark is None else [w for w in new if "<|" in w]
-    for at in range(0, len(plain), 5000):
-        some = plain[at : at + 5000]
-        ids = np.array(encode.encode(boundary.join(some), add_special_tokens=False).ids, dtype=dtype)
-        ends = np.flatnonzero(ids == mark)
-        if len(ends) != len(some) - 1:
-            alone += some
-            continue
-        low = np.concatenate([[0], ends + 1])
-        high = np.append(ends, len(ids))
-        raw, width = ids.tobytes(), ids.itemsize
-        seen.update(zip(some, [raw[a * width : b * width] for a, b in zip(low.tolist(), high.tolist(), strict=True)], strict=True))
-    for w in alone:
-        seen[w] = np.array(encode.encode(w, add_special_tokens=False).ids, dtype=dtype).tobytes()
-    return [seen[w] for w in words]
-
-
-def _encoded(texts: pa.Array, path: str, by_word: bool, boundary: str | None, end_id: int, dtype: str) -> Iterator[bytes]:
+        ids = lambda t: kept.tokenizer.encode(t, add_special_tokens=False).ids
+        kept.cuts = ids("éab.") == ids("éab") + ids(".") and ids("éab,") == ids("éab") + ids(",")
+        kept.folds = ids("ÉAb") == ids("éab")
+    return kept
+
+
+def _parts(word: str, cuts: bool, folds: bool) -> tuple[str, str]:
+    """A word as what is encoded, and the mark after it: letters and a last stop or comma, where the tokenizer cuts there, in lower case, where it folds."""
+    end = ""
+    if cuts and word[-1] in ".," and word[:-1].isalpha():
+        word, end = word[:-1], word[-1]
+    elif not word.isalpha():
+        return word, ""
+    return (word.lower() if folds and "Σ" not in word and "İ" not in word else word), end
+
+
+def _word_ids(words: list[str], path: str, dtype: str) -> list[bytes]:
+    """Ids of each word, as bytes; what was seen before is remembered."""
+    kept = _load(path, dtype)
+    if len(kept.words) > REMEMBERED:
+        kept.words.clear()
+    parts = [_parts(w, kept.cuts, kept.folds) for w in words]
+    ends = {m: np.array(kept.tokenizer.encode(m, add_special_tokens=False).ids, dtype=dtype).tobytes() if m else b"" for m in ("", ".", ",")}
+    new = list({w for w, _ in parts if w not in kept.words})
+    for at in range(0, len(new), 20_000):
+        some = new[at : at + 20_000]
+        found = [e.ids for e in kept.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        stops = np.cumsum([len(x) for x in found]) * np.dtype(dtype).itemsize
+        raw = np.fromiter(chain.from_iterable(found), dtype=dtype, count=-1).tobytes()
+        kept.words.update(zip(some, [raw[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)], strict=True))
+    return [kept.words[w] + ends[m] for w, m in parts]
+
+
+def _encoded(texts: pa.Array, path: str, by_word: bool, end_id: int, dtype: str) -> Iterator[bytes]:
     end = np.array([end_id], dtype=dtype).tobytes()
     if not by_word:
         for t in texts.to_pylist():
-            _word_ids([], path, None, dtype)
-            yield np.array(_kept().tokenizer.encode(t or "", add_special_tokens=False).ids, dtype=dtype).tobytes() + end
+            yield np.array(_load(path, dtype).tokenizer.encode(t or "", add_special_tokens=False).ids, dtype=dtype).tobytes() + end
         return
     codes, words, offsets = flat_words(texts)
-    ids = _word_ids(words, path, boundary, dtype)
+    ids = _word_ids(words, path, dtype)
     take = ids.__getitem__
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         yield b"".join(map(take, codes[a:b].tolist())) + end
@@ -111,7 +120,7 @@ def _mapped(uri: str, dtype: str) -> np.ndarray:
         return np.frombuffer(f.read(), dtype=dtype)
 
 
-def _writer(out: str, path: str, by_word: bool, boundary: str | None, end_id: int, dtype: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _writer(out: str, path: str, by_word: bool, end_id: int, dtype: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -127,7 +136,7 @@ def _writer(out: str, path: str, by_word: bool, boundary: str | None, end_id: in
                 files = {x: _open(f"{name}.{x}{tried}", "wb") for x in ("bin", "idx", "doc")}
                 files["idx"].write(np.zeros(1, "<i8").tobytes())
             ends = []
-            for raw in _encoded(batch.column("text"), path, by_word, boundary, end_id, dtype):
+            for raw in _encoded(batch.column("text"), path, by_word, end_id, dtype):
                 files["bin"].write(raw)
                 at += len(raw) // width
                 ends.append(at)
@@ -143,12 +152,11 @@ def _writer(out: str, path: str, by_word: bool, boundary: str | None, end_id: in
     return write
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, out: str | None = None, end_id: int = 2, by_word: bool = True, boundary: str | None = "<|startoftext|>") -> str:
+def write_tokens(docs: DataFrame, tokenizer: str, out: str | None = None, end_id: int = 2, by_word: bool = True) -> str:
     """Encode every whole text of `docs` (doc_id, text), append `end_id`, write in ascending order of doc_id; returns the folder.
 
     `tokenizer` is a file of the tokenizers library. `by_word` encodes distinct words between ASCII white space once; it
-    is exact for tokenizers that drop white space, and must be False for others. `boundary` is a special token that sets
-    words apart while they are encoded. Null text counts as empty: the end id alone. Rows without doc_id come first; equal
+    is exact for tokenizers that drop white space, and must be False for others. Null text counts as empty: the end id alone. Rows without doc_id come first; equal
     doc_ids follow by a hash of their text. An empty table gives a manifest without rows.
     """
     from tokenizers import Tokenizer
@@ -158,9 +166,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str | None = None, end_id
     dtype = "<u2" if max(end_id + 1, Tokenizer.from_file(tokenizer).get_vocab_size()) <= 1 << 16 else "<u4"
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
     rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
-    met = rows.mapInArrow(_writer(out, tokenizer, by_word, boundary, end_id, dtype), "part int, docs long, tokens long").orderBy("part").collect()
+    met = rows.mapInArrow(_writer(out, tokenizer, by_word, end_id, dtype), "part int, docs long, tokens long").collect()
     manifest, base = [], 0
-    for m in met:  # a row for each partition
+    for m in sorted(met):  # a row for each partition
         manifest.append((m.part, m.docs, m.tokens, base, dtype))
         base += m.tokens
     spark.createDataFrame(manifest, "part int, docs long, tokens long, base long, dtype string").coalesce(1).write.mode("overwrite").parquet(f"{out}/manifest")
