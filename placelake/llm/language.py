@@ -22,6 +22,8 @@ UNKNOWN = "und"
 BUCKETS = 1 << 15
 #: Rows that a model is fitted on at most, drawn by a hash of doc_id; predictions and all else cover every row.
 TRAIN_ROWS = 20_000
+#: Bytes of text predicted at once: several arrays of its words by languages are held beside it.
+SLICE = 2 << 20
 
 
 @dataclass
@@ -139,18 +141,19 @@ def _predict(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray, list
 
 def _predictor(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, most=SLICE):
             langs, score, sets = _predict(batch.column("text"), model)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(score), pa.array(sets, pa.string())], names=["doc_id", "lang_pred", "score", "languages"])
 
     return run
 
 
-def _filter(model: Model, column: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, column):
-            langs, _, _ = _predict(batch.column(column), model)
-            yield batch.filter(pa.array([x != UNKNOWN for x in langs], pa.bool_()))
+def _languages(model: Model) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for whole in texts:
+            batch = pa.RecordBatch.from_arrays([whole], names=["text"])
+            langs = [x for part in text_slices([batch], most=SLICE) for x in _predict(part.column(0), model)[0]]
+            yield pa.array(langs, pa.string())
 
     return run
 
@@ -166,5 +169,6 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of `docs`, with all columns, whose text has a language; nothing is shuffled."""
-    return docs.mapInArrow(_filter(model, "text"), docs.schema)
+    """The rows of `docs`, with all columns, whose text has a language; nothing is shuffled, and texts don't come back from Python."""
+    named = F.arrow_udf(_languages(model), "string", F.ArrowUDFType.SCALAR_ITER)
+    return docs.where(named(F.col("text")) != UNKNOWN)
