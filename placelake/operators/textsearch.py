@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from placelake.functions import geo, text
 from placelake.functions.rank import Ranking, city_echo, combined, name_match
 from placelake.operators import textindex
+from placelake.operators.ingest import cut_lineage
 from placelake.operators.spatial import drop_near_duplicates
 
 #: What kinds of variants are worth against the word as typed.
@@ -102,10 +103,10 @@ class TextIndex:
 
     def __init__(self, places: DataFrame, context: Column | None = None, rules: Rules | None = None, ranking: Ranking = Ranking()):
         self.places, self.rules, self.ranking = places, rules or Rules(), ranking
-        self.docs = textindex.documents(places, context)
-        self.n = places.count()
-        self.postings = textindex.weighted(textindex.postings(self.docs), self.n).cache()
-        self.dictionary = self.postings.select("field", "term").distinct().cache()
+        self.docs = cut_lineage(textindex.documents(places, context))
+        self.n = self.docs.count()
+        self.postings = cut_lineage(textindex.weighted(textindex.postings(self.docs), self.n))
+        self.dictionary = cut_lineage(self.postings.select("field", "term").distinct())
 
     def _variants(self, words: DataFrame, typos: int) -> DataFrame:
         """qid, pos, field, term, w, group, need: a group's `need` terms must all be in the field. words: qid, pos, term, prefix, d, many."""
@@ -157,7 +158,8 @@ class TextIndex:
         candidates (qid, place_id) restricts the search before anything is scored; layers too; `tag` (a condition on
         places) applies after the best candidates are fetched. Requests without a word find nothing.
         """
-        asked = requests.withColumn("words", text.tokens(F.col("q"))).withColumn("n_words", F.size("words")).where("n_words > 0").withColumn("prefix", text.last_is_prefix(F.col("q"), F.col("autocomplete"))).cache()
+        asked = requests.withColumn("words", text.tokens(F.col("q"))).withColumn("n_words", F.size("words")).where("n_words > 0").withColumn("prefix", text.last_is_prefix(F.col("q"), F.col("autocomplete")))
+        asked = cut_lineage(asked)
         words = asked.select("qid", "n_words", "prefix", F.posexplode("words").alias("pos", "term"))
         words = words.select("qid", "pos", "term", (F.col("prefix") & (F.col("pos") == F.col("n_words") - 1)).alias("prefix"), text.fuzzy_distance(F.col("term")).alias("d"), (F.col("n_words") > 1).alias("many"))
         words = words.withColumn("d", F.when(F.col("prefix"), F.least("d", F.lit(1))).otherwise(F.col("d")))
@@ -168,9 +170,10 @@ class TextIndex:
             hits = self._phase(words.join(left.select("qid"), "qid", "left_semi"), left, candidates, typos, slack, factor)
             if layers:
                 hits = hits.join(allowed, "place_id", "left_semi")
-            hits = hits.cache()
+            hits = cut_lineage(hits)  # plans of phases stay apart
             found = hits if found is None else found.unionByName(hits)
-            left = left.join(hits.select("qid").distinct(), "qid", "left_anti").cache()
+            left = left.join(hits.select("qid").distinct(), "qid", "left_anti")
+            left = cut_lineage(left)
             if left.isEmpty():
                 break
         return self._ranked(asked, found, tag)

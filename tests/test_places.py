@@ -1,5 +1,4 @@
 import math
-import os
 import random
 
 import pytest
@@ -47,7 +46,6 @@ def names(hits, town):
     return [r.name for r in hits.join(town.select("place_id", "name"), "place_id").orderBy("rank").collect()]
 
 
-@pytest.mark.skipif(not os.environ.get("PLACELAKE_SLOW"), reason="takes minutes")
 def test_text_search(spark, town):
     index = TextIndex(town, rules=Rules(suffixes=[(None, "str", ["strasse"])]))
     asked = [(1, "vad", True), (2, "kunstmusem", False), (3, "kunstmusuem", False), (4, "hauptstr. park ", True), (5, "kafe moskva", True), (6, "?!", True)]
