@@ -50,7 +50,7 @@ def _load(path: str, dtype: str) -> types.ModuleType:
 def _parts(word: str, cuts: bool, folds: bool) -> tuple[str, str]:
     """A word as what is encoded, and the mark after it: letters and a last stop or comma, where the tokenizer cuts there, in lower case, where it folds."""
     end = ""
-    if cuts and word[-1] in ".," and word[:-1].isalpha():
+    if cuts and word.endswith((".", ",")) and word[:-1].isalpha():
         word, end = word[:-1], word[-1]
     elif not word.isalpha():
         return word, ""
@@ -193,4 +193,5 @@ def _reader(out: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFram
 def read_tokens(spark: SparkSession, out: str) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens, ids_crc32 (of the ids as 32-bit integers), from the files."""
     manifest = spark.read.parquet(f"{out}/manifest")
-    return manifest.repartition(F.col("part")).mapInPandas(_reader(out), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # by number, as adaptive execution would put the manifest's few bytes, and so all files, into one task
+    return manifest.repartition(max(1, manifest.count()), "part").mapInPandas(_reader(out), "doc_id long, start long, n_tokens long, ids_crc32 long")

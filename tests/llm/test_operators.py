@@ -13,7 +13,7 @@ DOC = "doc_id long, text string, lang string, source string, print string, root
 
 
 def docs(spark, texts, langs=None):
-    return spark.createDataFrame([(k, t, (langs or {}).get(k), f"s{k % 3}", "x", "y", 1) for k, t in texts], DOC)
+    return spark.createDataFrame([(k, t, (langs or {}).get(k), f"s{(k or 0) % 3}", "x", "y", 1) for k, t in texts], DOC)
 
 
 def words(seed, n, size=400):
