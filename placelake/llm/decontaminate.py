@@ -1,8 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
-A first pass over the corpus finds where word trigrams of test items occur and cuts out the passage around them, as codes
-of the items' words. The trigrams' frequencies in the whole corpus then tell the rare ones: those not much more frequent
-than the median of their item's. Passages that hold a rare seed are aligned with the item, word by word.
+A pass over the corpus finds where word trigrams of test items occur and cuts out the passage around them, as codes of the
+items' words. Passages are aligned with the item, word by word. How frequent a seed is decides nothing; left out are only
+passages with too few of the item's words to reach the score by any alignment.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from placelake.llm.common import checkpoint, flat_words, text_slices
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Bytes of test items that are taken at once; more items mean more passes, not more memory.
 BLOCK_BYTES = 16 << 20
-FOUND = "doc_id long, item long, grams array<int>, at long, words array<int>"
+FOUND = "doc_id long, item long, at long, words array<int>"
 
 
 def plain(word: str) -> str:
@@ -101,18 +101,17 @@ def _passages(items: Items) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
             place = np.arange(len(pos)) - np.repeat(np.cumsum(times) - times, times) + items.first[gram]
             item, at = items.place_item[place], items.place_at[place]
             order = np.lexsort((pos, item, doc))
-            pos, gram, doc, item, at = (x[order] for x in (pos, gram, doc, item, at))
+            pos, doc, item, at = (x[order] for x in (pos, doc, item, at))
             size = np.array([len(w) for w in items.words])[item]
             new = np.ones(len(pos), dtype=bool)
             new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (pos[1:] - pos[:-1] > size[1:] + size[1:] // 4 + 4)
             cut = np.flatnonzero(new)
             low = np.maximum(np.minimum.reduceat(pos - at, cut) - size[cut] // 4 - 4, starts[doc[cut]])
             high = np.minimum(np.maximum.reduceat(pos - at + size, cut) + size[cut] // 4 + 4, starts[doc[cut] + 1])
-            ends = np.append(cut[1:], len(pos))
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id").take(pa.array(doc[cut])), pa.array(item[cut].astype(np.int64)), pa.array([np.unique(gram[a:b]).astype(np.int32) for a, b in zip(cut, ends, strict=True)], pa.list_(pa.int32())),
+                batch.column("doc_id").take(pa.array(doc[cut])), pa.array(item[cut].astype(np.int64)),
                 pa.array(low - starts[doc[cut]]), pa.array([known[a:b] for a, b in zip(low, high, strict=True)], pa.list_(pa.int32())),
-            ], names=["doc_id", "item", "grams", "at", "words"])
+            ], names=["doc_id", "item", "at", "words"])
 
     return run
 
@@ -145,13 +144,21 @@ def align(item: np.ndarray, passages: list[np.ndarray]) -> tuple[np.ndarray, np.
     return best >> 32, best & (unit - 1), end
 
 
-def _aligner(items: Items, rare: np.ndarray, least: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def reachable(item: np.ndarray, passage: np.ndarray) -> float:
+    """The score, as a share of a full copy's, that no alignment of the passage exceeds: each word that both hold matches at most as often as in the one that has fewer of it."""
+    words, n = np.unique(item, return_counts=True)
+    k = np.minimum(np.searchsorted(words, passage), len(words) - 1)
+    own = np.bincount(k[words[k] == passage], minlength=len(words))
+    return MATCH * np.minimum(own, n).sum() / (MATCH * len(item))
+
+
+def _aligner(items: Items, least: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if not len(frame):
                 continue
-            seeded = frame[[rare[g].any() for g in frame["grams"]]]
-            for item, own in seeded.groupby("item"):
+            near = frame[[reachable(items.words[i], w) >= least for i, w in zip(frame["item"], frame["words"], strict=True)]]
+            for item, own in near.groupby("item"):
                 words = items.words[item]
                 own = own.iloc[np.argsort([len(w) for w in own["words"]], kind="stable")]
                 step = max(1, 2_000_000 // max(1, len(own["words"].iloc[-1])))
@@ -166,21 +173,6 @@ def _aligner(items: Items, rare: np.ndarray, least: float) -> Callable[[Iterator
     return run
 
 
-def rare_grams(items: Items, counts: dict[int, int]) -> np.ndarray:
-    """Whether each gram is rare: in the corpus at most 4 times the median of an item it is of (grams not found left out), plus 4."""
-    n = np.zeros(len(items.grams), dtype=np.int64)
-    for gram, count in counts.items():
-        n[gram] = count
-    gram_of_place = np.repeat(np.arange(len(items.grams)), np.diff(items.first))
-    rare = np.zeros(len(items.grams), dtype=bool)
-    for item in range(len(items.words)):
-        own = gram_of_place[items.place_item == item]
-        found = n[own][n[own] > 0]
-        if len(found):
-            rare[own[n[own] <= 4 * np.median(found) + 4]] = True
-    return rare
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.5) -> DataFrame:
     """doc_id, item_id, score, start_word, end_word: each pair of a document and a test item whose best alignment scores
     `least` or more, as a share of the score of a full copy; words are counted from 0, without those that have no letter,
@@ -199,10 +191,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float
         if not coded.words:
             continue
         cut = checkpoint(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_passages(coded), FOUND))
-        seen = cut.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("n")).collect()  # a row for each gram of the block at most
-        rare = rare_grams(coded, {r.g: r.n for r in seen})
         names = spark.createDataFrame(list(enumerate(coded.ids)), "of int, item_id long")
-        hits = cut.mapInPandas(_aligner(coded, rare, least), "doc_id long, item long, score double, start_word long, end_word long")
+        hits = cut.mapInPandas(_aligner(coded, least), "doc_id long, item long, score double, start_word long, end_word long")
         best = hits.groupBy("doc_id", "item").agg(F.max(F.struct("score", "start_word", "end_word")).alias("best"))
         best = best.join(F.broadcast(names), best["item"] == names["of"]).select("doc_id", "item_id", "best.*")  # names: the block's items
         found = best if found is None else found.unionByName(best)

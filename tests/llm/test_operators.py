@@ -156,6 +156,22 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs(spark, texts), bench.limit(0)).count() == 0 == decontaminate.contaminated(docs(spark, []), bench).count()
 
 
+def test_decontamination_of_frequent_copies(spark):
+    """Copies of an edited item count like any other passage, however many there are and whatever else holds the item."""
+    item = words(1, 30, 5000)
+    edited = [w if k % 5 else f"e{k}" for k, w in enumerate(item)]
+    texts = [(0, " ".join(item)), *((k, " ".join(edited)) for k in range(1, 41))]
+    got = decontaminate.contaminated(docs(spark, texts), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == list(range(41))
+
+
+def test_bound_of_alignment_holds():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        a, b = rng.integers(0, 5, rng.integers(1, 12)), rng.integers(-2, 6, rng.integers(1, 15))
+        assert decontaminate.align(a, [b])[0][0] / (2 * len(a)) <= decontaminate.reachable(a, b)
+
+
 def test_alignment_is_smith_waterman():
     rng = np.random.default_rng(0)
     for _ in range(30):
