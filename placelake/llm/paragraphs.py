@@ -4,7 +4,11 @@ A paragraph is a run of whole sentences: it ends at the first sentence end (or l
 eight words or more, so that a passage is cut alike wherever it stands, also in the middle of a line. Paragraphs are sets
 of five-word shingles. MinHash bands bring near-equal ones together, exact Jaccard verifies them, components cluster them,
 and of each cluster all but the first paragraph (by doc_id and place) is a removal. Equal paragraphs share a content hash
-and meet without any pair. Passages are runs of clustered paragraphs.
+and meet without any pair.
+
+Verbatim passages are found by content too, wherever sentences end: blocks of BLOCK words are picked by winnowing, so that
+any WINDOW + BLOCK - 1 words hold one that is picked in every other place of them. Blocks that several rows hold are
+extended word by word against the first of them. Passages are runs of clustered paragraphs and such blocks.
 """
 
 from __future__ import annotations
@@ -15,13 +19,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placelake.llm.common import apart, checkpoint, flat_words, text_slices
 from placelake.llm.components import components
 
 SHINGLE, LEAST_SENTENCE = 5, 8
+#: Words of a block, and positions of which one is picked at least; together any 50 words hold a picked block.
+BLOCK, WINDOW = 20, 31
 #: Bits of the filter that a second scan is sieved with; its size is fixed, joins after it are exact.
 FILTER_BITS = 1 << 24
 NEWLINE = "\x1e"
@@ -42,9 +48,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Cut:
-    """Paragraphs of a slice of texts. Arrays: shingle (codes of all shingles), first (each paragraph's first shingle), doc, place, size (words), content."""
+    """Paragraphs of a slice of texts. Arrays: shingle (codes of all shingles), first (each paragraph's first shingle), doc, place, size (words), content; hashes (of all words), starts (each text's first word)."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, words_only: bool = False):
         import pyarrow.compute as pc
         from xxhash import xxh64_intdigest
 
@@ -60,7 +66,8 @@ class Cut:
         self.doc = self.place = self.size = np.zeros(0, np.int64)
         self.shingle = self.content = np.zeros(0, np.uint64)
         self.first = np.zeros(0, np.int64)
-        if not n:
+        self.hashes, self.starts = hashes, starts
+        if not n or words_only:
             return
         last = np.zeros(n, dtype=bool)  # whether a word ends a sentence; marks without a word end the word before them
         at = before[1:][ends] - 1
@@ -93,6 +100,87 @@ class Cut:
         self.content = _mix(np.add.reduceat(spread, self.first) + self.size.astype(np.uint64))
 
 
+def _slide(x: np.ndarray, f: np.ufunc, back: bool = False) -> np.ndarray:
+    """f over the WINDOW values from each one on, or up to each one."""
+    x, n = x[::-1] if back else x, len(x)
+    edge = np.uint64(0) if f is np.maximum else ~np.uint64(0)
+    x, wide = np.append(x, np.full(WINDOW, edge)), 1
+    while wide < WINDOW:
+        step = min(wide, WINDOW - wide)
+        x[: len(x) - step] = f(x[: len(x) - step], x[step:])
+        wide += step
+    return x[:n][::-1] if back else x[:n]
+
+
+def blocks(cut: Cut) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start (among the words of all texts), text and content of the picked blocks, in order.
+
+    A block is picked if it has the least content of any WINDOW positions. Of equal ones that overlap, as in text that
+    repeats a few words, one in BLOCK positions is kept, and the first.
+    """
+    h, starts = cut.hashes, cut.starts
+    if len(h) < BLOCK:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    wide, x = 1, _mix(h + np.uint64(7))
+    four = x
+    while wide < 16:
+        x = _mix(x[:-wide] * np.uint64(0x9E3779B97F4A7C15) + x[wide:])
+        wide *= 2
+        four = x if wide == 4 else four
+    x = _mix(x[: len(h) - BLOCK + 1] * np.uint64(0x9E3779B97F4A7C15) + four[16 : 16 + len(h) - BLOCK + 1])
+    for b in starts[1:-1]:  # those that reach over the end of a text
+        x[max(0, b - BLOCK + 1) : b] = ~np.uint64(0)
+    at = np.flatnonzero((_slide(_slide(x, np.minimum), np.maximum, back=True) == x) & (x != ~np.uint64(0)))
+    order = np.lexsort((at, x[at]))
+    p, v = at[order], x[at][order]
+    fresh = np.ones(len(p), dtype=bool)
+    fresh[1:] = (v[1:] != v[:-1]) | (p[1:] - p[:-1] >= BLOCK)
+    if len(p):
+        turn = (p - p[np.maximum.accumulate(np.where(fresh, np.arange(len(p)), 0))]) // BLOCK
+        fresh[1:] |= turn[1:] != turn[:-1]
+    at = np.sort(p[fresh])
+    return at, np.searchsorted(starts, at, side="right") - 1, x[at]
+
+
+def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each content of a row's blocks once, with the row."""
+    for batch in text_slices(batches, most=SLICE):
+        _, doc, content = blocks(Cut(batch.column("text"), words_only=True))
+        if len(doc):
+            order = np.lexsort((content, doc))
+            doc, content = doc[order], content[order]
+            new = np.append(True, (doc[1:] != doc[:-1]) | (content[1:] != content[:-1]))
+            doc, content = doc[new], content[new]
+            yield pa.RecordBatch.from_arrays([pa.array(content.view(np.int64)), batch.column("row_id").take(pa.array(doc))], names=["content", "row_id"])
+
+
+def _around(wanted: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks of wanted contents, with the hashes of the words before and after that no wanted block beside them holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, most=SLICE):
+            cut = Cut(batch.column("text"), words_only=True)
+            at, doc, content = blocks(cut)
+            spot = (content % np.uint64(FILTER_BITS)).astype(np.int64)
+            k = np.flatnonzero(wanted[spot >> 3] >> (spot & 7).astype(np.uint8) & 1)
+            if not len(k):
+                continue
+            at, doc, content = at[k], doc[k], content[k]
+            start, end = cut.starts[doc], cut.starts[doc + 1]
+            low, high = np.maximum(at - WINDOW, start), np.minimum(at + BLOCK + WINDOW, end)
+            same = doc[1:] == doc[:-1]
+            low[1:] = np.where(same, np.clip(at[:-1] + BLOCK, low[1:], at[1:]), low[1:])
+            high[:-1] = np.where(same, np.clip(at[1:], at[:-1] + BLOCK, high[:-1]), high[:-1])
+            h = cut.hashes.view(np.int64)
+            of = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id").take(of), batch.column("row_id").take(of), pa.array(at - start), pa.array(content.view(np.int64)),
+                pa.array([h[a:b][::-1] for a, b in zip(low, at, strict=True)], pa.list_(pa.int64())), pa.array([h[a:b] for a, b in zip(at + BLOCK, high, strict=True)], pa.list_(pa.int64())),
+            ], names=["doc_id", "row_id", "place", "content", "before", "after"])
+
+    return run
+
+
 def band_keys(cut: Cut, bands: int, rows: int) -> np.ndarray:
     """Bands x paragraphs keys."""
     out = []
@@ -233,18 +321,44 @@ def clustered(docs: DataFrame, similarity: float = 0.8, recall: float = 0.98) ->
     return members.join(first, members["cluster"] == first["of"]).select("doc_id", "row_id", "number", "place", "size", "cluster", kept.alias("kept"), F.col("first.doc_id").alias("first_doc_id"))
 
 
+def repeated_blocks(docs: DataFrame) -> DataFrame:
+    """Blocks that several rows hold word by word, extended: doc_id, row_id, place, size, cluster, kept, first_doc_id.
+
+    A block's first place by (doc_id, row_id, place) is kept and extended as far as the others are that are compared with it.
+    """
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("row_id"))
+    held = rows.mapInArrow(_picked, "content long, row_id long").groupBy("content").agg(F.min("row_id").alias("low"), F.max("row_id").alias("high"))
+    wanted = checkpoint(held.where("low != high").select(F.col("content").alias("c")))
+    around = _around(_filter_bits(wanted.withColumnRenamed("c", "content")))
+    found = rows.mapInArrow(around, "doc_id long, row_id long, place long, content long, before array<long>, after array<long>")
+    found = checkpoint(found.join(wanted, found["content"] == wanted["c"], "left_semi"))
+    first = found.groupBy("content").agg(F.min(F.struct("doc_id", "row_id", "place", "before", "after")).alias("first")).select(apart(F.col("content")).alias("of"), "first")
+
+    def alike(side: str) -> Column:
+        other = F.array_position(F.zip_with(side, f"first.{side}", lambda x, y: ~x.eqNullSafe(y)), True)
+        return F.when(other == 0, F.size(side)).otherwise(other - 1).cast("long")
+
+    own = F.struct("doc_id", "row_id", "place").eqNullSafe(F.struct("first.doc_id", "first.row_id", "first.place"))
+    met = found.join(first, found["content"] == first["of"]).where(~own)
+    met = checkpoint(met.select("doc_id", "row_id", "place", "content", alike("before").alias("l"), alike("after").alias("r"), F.struct("first.doc_id", "first.row_id", "first.place").alias("first")))
+    kept = met.groupBy("content", "first").agg(F.max("l").alias("l"), F.max("r").alias("r")).select("first.*", "content", "l", "r", F.lit(True).alias("kept"), F.col("first.doc_id").alias("first_doc_id"))
+    gone = met.select("doc_id", "row_id", "place", "content", "l", "r", F.lit(False).alias("kept"), F.col("first.doc_id").alias("first_doc_id"))
+    return kept.unionByName(gone).select("doc_id", "row_id", (F.col("place") - F.col("l")).alias("place"), (F.col("l") + F.col("r") + BLOCK).alias("size"), F.col("content").alias("cluster"), "kept", "first_doc_id")
+
+
 def repeated_passages(docs: DataFrame, least_words: int = 20, similarity: float = 0.8, recall: float = 0.98) -> DataFrame:
     """One row per passage: doc_id, row_id, start_word, end_word, n_words, removed_words, first_doc_ids, clusters, kept.
 
-    A passage is a run of clustered paragraphs, side by side, of `least_words` words or more. kept: none of its paragraphs
-    is a removal; removed_words counts the words of those that are. first_doc_ids are the documents that keep them.
+    A passage is a run of clustered paragraphs and repeated blocks, side by side or overlapping, of `least_words` words or
+    more. kept: none of them is a removal; removed_words counts the words of those that are. first_doc_ids are the documents that keep them.
     """
-    found = clustered(docs, similarity, recall)
-    per_row = found.groupBy("doc_id", "row_id").agg(F.array_sort(F.collect_set(F.struct("number", "place", "size", "cluster", "kept", "first_doc_id"))).alias("all"))
+    found = clustered(docs, similarity, recall).drop("number")
+    found = found.unionByName(repeated_blocks(docs).select(*found.columns))
+    per_row = found.groupBy("doc_id", "row_id").agg(F.array_sort(F.collect_set(F.struct("place", "size", "cluster", "kept", "first_doc_id"))).alias("all"))
     joined = F.aggregate(
-        "all", F.expr("cast(array() as array<struct<low:bigint,start:bigint,end:bigint,next:bigint,removed:bigint,firsts:array<bigint>,clusters:array<bigint>>>)"),
+        "all", F.expr("cast(array() as array<struct<start:bigint,end:bigint,gone:bigint,removed:bigint,firsts:array<bigint>,clusters:array<bigint>>>)"),
         lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["next"] == x["number"]),
+            (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["place"]),
             F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(_grown(F.element_at(acc, -1), x))),
         ).otherwise(F.concat(acc, F.array(_grown(None, x)))),
     )
@@ -254,9 +368,10 @@ def repeated_passages(docs: DataFrame, least_words: int = 20, similarity: float
 
 
 def _grown(run, x):
-    removed = F.when(x["kept"], F.lit(0)).otherwise(x["size"]).cast("long")
+    end, gone = x["place"] + x["size"], F.lit(0).cast("long") if run is None else run["gone"]  # gone: where the removed words end so far
+    removed = F.when(x["kept"], F.lit(0)).otherwise(F.greatest(F.lit(0), end - F.greatest(x["place"], gone))).cast("long")
     first, cluster = F.array(x["first_doc_id"]), F.array(x["cluster"])
     return F.struct(
-        (x["number"] if run is None else run["low"]).alias("low"), (x["place"] if run is None else run["start"]).alias("start"), (x["place"] + x["size"]).alias("end"), (x["number"] + 1).alias("next"),
+        (x["place"] if run is None else run["start"]).alias("start"), (end if run is None else F.greatest(run["end"], end)).alias("end"), F.when(x["kept"], gone).otherwise(F.greatest(gone, end)).alias("gone"),
         (removed if run is None else run["removed"] + removed).alias("removed"), (first if run is None else F.concat(run["firsts"], first)).alias("firsts"), (cluster if run is None else F.concat(run["clusters"], cluster)).alias("clusters"),
     )

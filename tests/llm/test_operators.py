@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -230,6 +231,27 @@ def test_paragraphs(spark):
     assert 1 - (1 - 0.8**rows) ** bands >= 0.98
 
 
+def test_passages_without_sentences(spark):
+    """Verse and long lines: no sentence of eight words ends there, so that a whole text is one paragraph."""
+    own = lambda seed, n: words(seed, n, 100_000)
+    verse = lambda ws: "\n".join(" ".join(ws[k : k + 5]) for k in range(0, len(ws), 5))
+    p, q = own(1, 60), own(2, 50)
+    texts = [(1, verse(own(3, 200) + p + own(4, 100))), (2, verse(own(5, 33) + p + own(6, 170))), (3, " ".join(own(7, 300) + q)), (4, " ".join(q + own(8, 90))), (5, verse(own(9, 300))), (6, "a " * 300), (7, None)]
+    got = {r.doc_id: r for r in paragraphs.repeated_passages(docs(spark, texts)).collect()}
+    assert {k: (r.start_word, r.end_word, r.removed_words, r.kept, r.first_doc_ids) for k, r in got.items()} == {
+        1: (200, 260, 0, True, [1]), 2: (33, 93, 60, False, [1]), 3: (300, 350, 0, True, [3]), 4: (0, 50, 50, False, [3]),
+    }
+
+
+def test_blocks_are_picked_alike_anywhere():
+    rng = np.random.default_rng(5)
+    for k in range(50):
+        run = " ".join(f"w{x}" for x in rng.integers(0, 3 if k % 2 else 1000, 50))
+        sides = [" ".join(f"v{x}" for x in rng.integers(0, 1000, n)) for n in rng.integers(0, 90, 4)]
+        _, doc, content = paragraphs.blocks(paragraphs.Cut(pa.array([f"{sides[0]} {run} {sides[1]}", f"{sides[2]} {run} {sides[3]}"])))
+        assert set(content[doc == 0]) & set(content[doc == 1])
+
+
 def test_preferences(spark):
     rows = [(1, "chosen", 0, "user", "hi"), (1, "chosen", 1, "assistant", "yes"), (1, "rejected", 0, "user", "hi"), (1, "rejected", 1, "assistant", "no"), (1, "rejected", None, "user", "late"),
             (2, "chosen", 0, None, None), (2, "rejected", 0, None, None), (3, "chosen", 0, "user", "a"), (None, "chosen", 0, "user", "a"), (4, "other", 0, "user", "a")]
