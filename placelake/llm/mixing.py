@@ -20,6 +20,8 @@ TRAIN_ROWS, WORDS = 8_000, 2_000
 #: What a word must tell at least: half its G statistic, and its rate in some domain as a multiple of its rate overall. So
 #: words that fell to one domain by chance are left out, and common ones that only tell long texts from short ones.
 GAIN, LIFT = 15.0, 2.5
+#: Near copies among labelled documents: words of a shingle, seeds of least hashes, and the share of shingles in common.
+SHINGLE, MINHASHES, ALIKE = 5, 4, 0.5
 #: What separates words.
 SPACE = r"[\s.,;:!?|]+"
 
@@ -40,6 +42,33 @@ def distinct_hashes(words: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
+def near_copies(rows: DataFrame) -> DataFrame:
+    """(k_id, kin) for each doc_id of rows (doc_id, ws): the smallest doc_id that it is found to be a near copy of, or its own.
+
+    Least hashes of shingles, under MINHASHES seeds, bring candidates to the smallest doc_id with the same one; those that share ALIKE of
+    their shingles with it are near copies of it. Kin of kin are followed three times. Texts without a word are not alike.
+    """
+    whole = F.array(F.xxhash64("hs"))
+    rows = rows.select("doc_id", F.transform(F.filter("ws", lambda w: w != ""), lambda w: F.xxhash64(w)).alias("hs"))
+    each = F.transform(F.sequence(F.lit(1), F.size("hs") - (SHINGLE - 1)), lambda k: F.xxhash64(*(F.element_at("hs", k + j) for j in range(SHINGLE))))
+    rows = rows.select("doc_id", F.when(F.size("hs") >= SHINGLE, each).when(F.size("hs") > 0, whole).otherwise(F.expr("cast(array() as array<bigint>)")).alias("s"))
+    rows = checkpoint(rows.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("s")))
+    least = F.array(*(F.array_min(F.transform("s", lambda x, j=j: F.xxhash64(x, F.lit(j)))) for j in range(MINHASHES)))
+    keys = checkpoint(rows.select("doc_id", F.posexplode(least).alias("seed", "key")).where("key is not null"))
+    heads = keys.groupBy("seed", "key").agg(F.min("doc_id").alias("head"))
+    pairs = keys.join(heads, ["seed", "key"]).where("doc_id != head").select("doc_id", "head").distinct()
+    a, b = rows.select(F.col("doc_id").alias("a_id"), F.col("s").alias("a")), rows.select(F.col("doc_id").alias("b_id"), F.col("s").alias("b"))
+    pairs = pairs.join(a, F.col("doc_id") == F.col("a_id")).join(b, F.col("head") == F.col("b_id"))
+    both = F.size(F.array_intersect("a", "b"))
+    alike = pairs.where(both >= ALIKE * (F.size("a") + F.size("b") - both)).groupBy("doc_id").agg(F.min("head").alias("head"))
+    alike = checkpoint(alike)
+    kin = rows.select(F.col("doc_id").alias("k_id")).join(alike, F.col("k_id") == F.col("doc_id"), "left").select("k_id", F.coalesce("head", "k_id").alias("kin"))
+    for _ in range(3):
+        up = alike.select(F.col("doc_id").alias("u_id"), F.col("head").alias("up"))
+        kin = kin.join(up, kin["kin"] == up["u_id"], "left").select("k_id", F.coalesce("up", "kin").alias("kin"))
+    return kin
+
+
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_ROWS, most_words: int = WORDS) -> Classifier:
     """Learn from docs (doc_id, text) and labels (doc_id, domain). Rows with a null in either label column teach nothing.
 
@@ -50,11 +79,11 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_ROWS, most_wo
     share = 1 << 20 if total <= most_rows else max(1, (most_rows << 20) // total)
     drawn = checkpoint(told.where(F.pmod(F.xxhash64("l_id"), F.lit(1 << 20)) < share))
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("l_id"))  # most_rows rows, about
-    # near copies share their least hash of a long word, mostly, and count once: their words would pass for telling ones
-    words = rows.select("domain", "doc_id", words_of(F.col("text")).alias("ws"))
-    kin = F.coalesce(F.array_min(F.transform(F.filter("ws", lambda w: F.char_length(w) >= 7), lambda w: F.xxhash64(w))), F.xxhash64("doc_id"))
+    words = checkpoint(rows.select("domain", "doc_id", words_of(F.col("text")).alias("ws")))
+    # near copies count once: their words would pass for telling ones
+    kin = near_copies(words.select("doc_id", "ws"))
     # what stands beside explode() in one select is worked out for each word; so it comes before
-    words = words.select("domain", kin.alias("kin"), distinct_hashes(F.col("ws")).alias("hs"))
+    words = words.join(kin, words["doc_id"] == kin["k_id"]).select("domain", "kin", distinct_hashes(F.col("ws")).alias("hs"))
     words = checkpoint(words.select("domain", "kin", F.explode("hs").alias("w")).distinct())
     seen = words.groupBy("w", "domain").agg(F.count("*").alias("n"))
     n_docs = {r.domain: r.n for r in words.select("domain", "kin").distinct().groupBy("domain").agg(F.count("*").alias("n")).collect()}

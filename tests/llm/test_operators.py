@@ -231,6 +231,17 @@ def test_paragraphs(spark):
     assert 1 - (1 - 0.8**rows) ** bands >= 0.98
 
 
+def test_mixing_counts_distinct_texts(spark):
+    """Texts that share a long word are not copies; copies, exact or near, count once."""
+    texts = {k: ["dreadful", *words(k, 40)] for k in range(20)}
+    texts |= {100: texts[3], 101: [*texts[3][:20], "changed", *texts[3][21:]], 102: [], 103: ["dreadful"]}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, ws array<string>")
+    got = {r.k_id: r.kin for r in mixing.near_copies(rows).collect()}
+    assert got == {k: 3 if k in (100, 101) else k for k in texts}
+    model = mixing.fit(docs(spark, [(k, " ".join(w)) for k, w in texts.items() if k < 102]), spark.createDataFrame([(k, "fine" if k % 4 else "bad") for k in range(20)], "doc_id long, domain string"))
+    assert np.allclose(model.base, np.log([0.25, 0.75]))  # each of the 20 counts
+
+
 def test_passages_without_sentences(spark):
     """Verse and long lines: no sentence of eight words ends there, so that a whole text is one paragraph."""
     own = lambda seed, n: words(seed, n, 100_000)
