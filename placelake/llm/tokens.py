@@ -2,7 +2,8 @@
 
 A partition is a range of doc_id and writes three files: `.bin` (ids, little-endian, 16 bits where the vocabulary allows,
 else 32), `.idx` (64-bit offsets of documents within the file, one more than documents) and `.doc` (64-bit doc_ids). The
-manifest, a Parquet table, holds each partition's counts and its base, the prefix sum of the counts before it.
+manifest, a Parquet table, holds each partition's counts and its base, the prefix sum of the counts before it. Rows without
+doc_id come first and are counted there, so that any 64-bit number can be a doc_id.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ from placelake.llm.common import flat_words, shared_dir, text_slices
 
 #: Words whose ids a worker remembers.
 REMEMBERED = 1_000_000
-NO_ID = -(1 << 63)
+#: Marks that are cut off the ends of words and encoded alone, where that changes nothing.
+MARKS = (".", ",")
 
 
 def _kept() -> types.ModuleType:
@@ -42,19 +44,42 @@ def _load(path: str, dtype: str) -> types.ModuleType:
 
         kept.path, kept.tokenizer, kept.words = (path, dtype), Tokenizer.from_file(path), {}
         ids = lambda t: kept.tokenizer.encode(t, add_special_tokens=False).ids
-        kept.cuts = ids("éab.") == ids("éab") + ids(".") and ids("éab,") == ids("éab") + ids(",")
-        kept.folds = ids("ÉAb") == ids("éab")
+        kept.ids = ids
+        kept.cuts = all(ids(f"ab{m}") == ids("ab") + ids(m) for m in MARKS)
+        kept.folds = ids("AbC") == ids("abc")
+        kept.fold, kept.last = {}, {}  # of letters outside ASCII: whether lower case, and a cut after them, change nothing
     return kept
 
 
-def _parts(word: str, cuts: bool, folds: bool) -> tuple[str, str]:
+def _folds(kept: types.ModuleType, c: str) -> bool:
+    """Whether the tokenizer's own normalizer takes a letter and its lower case for the same. A capital sigma's depends on what stands beside it."""
+    if c == "Σ":
+        return False
+    if (ok := kept.fold.get(c)) is None:
+        same = kept.tokenizer.normalizer.normalize_str
+        ok = kept.fold[c] = same(c) == same(c.lower())
+    return ok
+
+
+def _ends(kept: types.ModuleType, c: str) -> bool:
+    """Whether marks after a letter are cut off: not where it is normalized to a letter with marks of its own, which would join them."""
+    if (ok := kept.last.get(c)) is None:
+        ok = kept.last[c] = all(kept.ids(c + m) == kept.ids(c) + kept.ids(m) for m in MARKS)
+    return ok
+
+
+def _parts(word: str, kept: types.ModuleType) -> tuple[str, str]:
     """A word as what is encoded, and the mark after it: letters and a last stop or comma, where the tokenizer cuts there, in lower case, where it folds."""
-    end = ""
-    if cuts and word.endswith((".", ",")) and word[:-1].isalpha():
-        word, end = word[:-1], word[-1]
+    end, own = "", word
+    if kept.cuts and word.endswith(MARKS) and word[:-1].isalpha():
+        own, end = word[:-1], word[-1]
     elif not word.isalpha():
         return word, ""
-    return (word.lower() if folds and "Σ" not in word and "İ" not in word else word), end
+    if own.isascii():
+        return (own.lower() if kept.folds else own), end
+    if end and not _ends(kept, own[-1]):
+        return word, ""
+    return (own.lower() if kept.folds and all(_folds(kept, c) for c in set(own)) else own), end
 
 
 def _word_ids(words: list[str], path: str, dtype: str) -> list[bytes]:
@@ -62,8 +87,8 @@ def _word_ids(words: list[str], path: str, dtype: str) -> list[bytes]:
     kept = _load(path, dtype)
     if len(kept.words) > REMEMBERED:
         kept.words.clear()
-    parts = [_parts(w, kept.cuts, kept.folds) for w in words]
-    ends = {m: np.array(kept.tokenizer.encode(m, add_special_tokens=False).ids, dtype=dtype).tobytes() if m else b"" for m in ("", ".", ",")}
+    parts = [_parts(w, kept) for w in words]
+    ends = {m: np.array(kept.ids(m), dtype=dtype).tobytes() for m in MARKS} | {"": b""}
     new = list({w for w, _ in parts if w not in kept.words})
     for at in range(0, len(new), 20_000):
         some = new[at : at + 20_000]
@@ -113,11 +138,21 @@ def _move(old: str, new: str) -> None:
         system.move(path, fs.FileSystem.from_uri(new)[1])
 
 
-def _mapped(uri: str, dtype: str) -> np.ndarray:
+class _Stored:
+    """A file's numbers by slices: of a store that isn't the local file system, only the bytes asked for are read."""
+
+    def __init__(self, uri: str, dtype: str):
+        self.file, self.dtype = _open(uri, "rb"), np.dtype(dtype)
+
+    def __getitem__(self, at: slice) -> np.ndarray:
+        first, width = int(at.start), self.dtype.itemsize
+        return np.frombuffer(self.file.read_at((int(at.stop) - first) * width, first * width), dtype=self.dtype)
+
+
+def _mapped(uri: str, dtype: str) -> np.ndarray | _Stored:
     if path := local_path(uri):
         return np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.zeros(0, dtype)
-    with _open(uri, "rb") as f:
-        return np.frombuffer(f.read(), dtype=dtype)
+    return _Stored(uri, dtype)
 
 
 def _writer(out: str, path: str, by_word: bool, end_id: int, dtype: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -127,7 +162,7 @@ def _writer(out: str, path: str, by_word: bool, end_id: int, dtype: str) -> Call
         task = TaskContext.get()
         part, width = task.partitionId(), np.dtype(dtype).itemsize
         name, tried = f"{out}/part-{part:06d}", f".{task.taskAttemptId()}.tmp"
-        docs, at = 0, 0
+        docs, at, nulls = 0, 0, 0
         files = {}
         for batch in text_slices(batches):
             if not batch.num_rows:
@@ -141,13 +176,13 @@ def _writer(out: str, path: str, by_word: bool, end_id: int, dtype: str) -> Call
                 at += len(raw) // width
                 ends.append(at)
             files["idx"].write(np.array(ends, dtype="<i8").tobytes())
-            files["doc"].write(batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
-            docs += batch.num_rows
+            files["doc"].write(batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+            docs, nulls = docs + batch.num_rows, nulls + batch.column("doc_id").null_count
         for x, f in files.items():
             f.close()
             _move(f"{name}.{x}{tried}", f"{name}.{x}")  # a task that runs again writes the same bytes
         if docs:
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([docs], pa.int64()), pa.array([at], pa.int64())], names=["part", "docs", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([docs], pa.int64()), pa.array([at], pa.int64()), pa.array([nulls], pa.int64())], names=["part", "docs", "tokens", "nulls"])
 
     return write
 
@@ -166,12 +201,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str | None = None, end_id
     dtype = "<u2" if max(end_id + 1, Tokenizer.from_file(tokenizer).get_vocab_size()) <= 1 << 16 else "<u4"
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
     rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
-    met = rows.mapInArrow(_writer(out, tokenizer, by_word, end_id, dtype), "part int, docs long, tokens long").collect()
+    met = rows.mapInArrow(_writer(out, tokenizer, by_word, end_id, dtype), "part int, docs long, tokens long, nulls long").collect()
     manifest, base = [], 0
     for m in sorted(met):  # a row for each partition
-        manifest.append((m.part, m.docs, m.tokens, base, dtype))
+        manifest.append((m.part, m.docs, m.tokens, m.nulls, base, dtype))
         base += m.tokens
-    spark.createDataFrame(manifest, "part int, docs long, tokens long, base long, dtype string").coalesce(1).write.mode("overwrite").parquet(f"{out}/manifest")
+    spark.createDataFrame(manifest, "part int, docs long, tokens long, nulls long, base long, dtype string").coalesce(1).write.mode("overwrite").parquet(f"{out}/manifest")
     return out
 
 
@@ -183,9 +218,11 @@ def _reader(out: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFram
                 ids, ends, docs = _mapped(f"{name}.bin", m.dtype), _mapped(f"{name}.idx", "<i8"), _mapped(f"{name}.doc", "<i8")
                 for at in range(0, m.docs, 10_000):
                     to = min(m.docs, at + 10_000)
-                    crc = [zlib.crc32(ids[ends[k] : ends[k + 1]].astype("<u4").tobytes()) for k in range(at, to)]
-                    own = pd.Series(docs[at:to], dtype="Int64")
-                    yield pd.DataFrame({"doc_id": own.mask(own == NO_ID), "start": m.base + ends[at:to], "n_tokens": np.diff(ends[at : to + 1]), "ids_crc32": crc})
+                    stops = ends[at : to + 1]
+                    own = ids[stops[0] : stops[-1]] if stops[-1] > stops[0] else np.zeros(0, m.dtype)
+                    crc = [zlib.crc32(own[a:b].astype("<u4").tobytes()) for a, b in zip(stops[:-1] - stops[0], stops[1:] - stops[0], strict=True)]
+                    doc = pd.Series(docs[at:to], dtype="Int64").mask(np.arange(at, to) < m.nulls)
+                    yield pd.DataFrame({"doc_id": doc, "start": m.base + stops[:-1], "n_tokens": np.diff(stops), "ids_crc32": crc})
 
     return read
 
