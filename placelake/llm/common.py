@@ -46,7 +46,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: i
             at = to
 
 
-def flat_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+def coded_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Words (split at ASCII white space) of all texts: code of each, the distinct words, and where each text's words start.
 
     Null texts count as empty. A batch's words are coded once, so that work by word is done on distinct words only.
@@ -55,10 +55,16 @@ def flat_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     offsets = np.asarray(lists.offsets).astype(np.int64)
     coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
     offsets -= offsets[0]
-    words = coded.dictionary.to_pylist()
-    codes = coded.indices.to_numpy(zero_copy_only=False)
-    if "" in words:  # at the ends of texts
-        full = codes != words.index("")
+    words, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+    empty = pc.index(words, pa.scalar("", words.type)).as_py()
+    if empty >= 0:  # at the ends of texts
+        full = codes != empty
         offsets = np.concatenate([[0], np.cumsum(full)])[offsets]
         codes = codes[full]
     return codes, words, offsets
+
+
+def flat_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """As coded_words, the distinct words as a list."""
+    codes, words, offsets = coded_words(texts)
+    return codes, words.to_pylist(), offsets

@@ -13,33 +13,38 @@ extended word by word against the first of them. Passages are runs of clustered
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from placelake.llm.common import apart, checkpoint, flat_words, text_slices
+from placelake.llm.common import apart, checkpoint, coded_words, text_slices
 from placelake.llm.components import components
 
 SHINGLE, LEAST_SENTENCE = 5, 8
 #: Words of a block, and positions of which one is picked at least; together any 50 words hold a picked block.
 BLOCK, WINDOW = 20, 31
-#: Bits of the filter that a second scan is sieved with; its size is fixed, joins after it are exact.
-FILTER_BITS = 1 << 24
+#: Bits of the filter that a second scan is sieved with: least, for each content, and most. Joins after it are exact.
+FILTER_BITS, BITS_EACH, MOST_BITS = 1 << 24, 16, 1 << 29
 NEWLINE = "\x1e"
+#: What words are compared without.
+OTHER = r"[^\p{L}\p{N}_]"
 #: Bytes of text cut at once: some fifteen arrays of its words and shingles are held beside it.
 SLICE = 2 << 20
 
 
-def tune_bands(similarity: float, recall: float) -> tuple[int, int]:
-    """(bands, rows): the fewest keys that bring pairs of that similarity together with that probability, with two rows at least."""
-    rows = 2
-    bands = int(np.ceil(np.log(1 - recall) / np.log(1 - similarity**rows)))
-    return bands, rows
+def tune_bands(similarity: float, recall: float, apart: float = 0.3, at_most: float = 0.1) -> tuple[int, int]:
+    """(bands, rows): the fewest keys that bring pairs of that similarity together with probability `recall`, and pairs that are alike by `apart` with `at_most`."""
+    rows = 1
+    while True:
+        bands = int(np.ceil(np.log(1 - recall) / np.log(1 - similarity**rows)))
+        if 1 - (1 - apart**rows) ** bands <= at_most:
+            return bands, rows
+        rows += 1
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -47,19 +52,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(29)
 
 
+def _each(flags: pa.Array) -> np.ndarray:
+    return flags.to_numpy(zero_copy_only=False).astype(bool)
+
+
 class Cut:
     """Paragraphs of a slice of texts. Arrays: shingle (codes of all shingles), first (each paragraph's first shingle), doc, place, size (words), content; hashes (of all words), starts (each text's first word)."""
 
     def __init__(self, texts: pa.Array, words_only: bool = False):
-        import pyarrow.compute as pc
-        from xxhash import xxh64_intdigest
-
         marked = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\n", f" {NEWLINE} ")
-        codes, words, offsets = flat_words(marked)
-        plain = [re.sub(r"\W+", "", w.lower()) for w in words]
-        full = np.array([bool(p) for p in plain] or [False])[codes]
-        ends = np.array([w == NEWLINE or bool(re.search(r"[.!?。]\W*$", w)) for w in words] or [False])[codes]
-        hashes = np.array([xxh64_intdigest(p) for p in plain] or [0], dtype=np.uint64)[codes][full]
+        codes, words, offsets = coded_words(marked)
+        plain = pc.replace_substring_regex(pc.utf8_lower(words), f"{OTHER}+", "")
+        full = _each(pc.greater(pc.binary_length(plain), 0))[codes]
+        ends = _each(pc.match_substring_regex(words, f"^{NEWLINE}$|[.!?。]{OTHER}*$"))[codes]
+        hashes = pd.util.hash_array(plain.to_numpy(zero_copy_only=False), categorize=False)[codes][full] if len(words) else np.zeros(0, np.uint64)
         before = np.concatenate([[0], np.cumsum(full)])
         starts = before[offsets]
         n = len(hashes)
@@ -143,15 +149,21 @@ def blocks(cut: Cut) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each content of a row's blocks once, with the row."""
+    """Each content of a slice's blocks once, with the first and the last row that has it."""
     for batch in text_slices(batches, most=SLICE):
         _, doc, content = blocks(Cut(batch.column("text"), words_only=True))
         if len(doc):
-            order = np.lexsort((content, doc))
-            doc, content = doc[order], content[order]
-            new = np.append(True, (doc[1:] != doc[:-1]) | (content[1:] != content[:-1]))
-            doc, content = doc[new], content[new]
-            yield pa.RecordBatch.from_arrays([pa.array(content.view(np.int64)), batch.column("row_id").take(pa.array(doc))], names=["content", "row_id"])
+            at = batch.column("at").to_numpy()[doc]
+            order = np.lexsort((at, content))
+            at, content = at[order], content[order]
+            new = np.append(True, content[1:] != content[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(content[new].view(np.int64)), pa.array(at[new]), pa.array(at[np.append(new[1:], True)])], names=["content", "low", "high"])
+
+
+def _held(bits: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """Whether a filter's bit is set for each content."""
+    spot = (content & np.uint64(8 * len(bits) - 1)).astype(np.int64)
+    return bits[spot >> 3] >> (spot & 7).astype(np.uint8) & 1
 
 
 def _around(wanted: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -161,8 +173,7 @@ def _around(wanted: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator
         for batch in text_slices(batches, most=SLICE):
             cut = Cut(batch.column("text"), words_only=True)
             at, doc, content = blocks(cut)
-            spot = (content % np.uint64(FILTER_BITS)).astype(np.int64)
-            k = np.flatnonzero(wanted[spot >> 3] >> (spot & 7).astype(np.uint8) & 1)
+            k = np.flatnonzero(_held(wanted, content))
             if not len(k):
                 continue
             at, doc, content = at[k], doc[k], content[k]
@@ -234,12 +245,10 @@ def _sieved(wanted: np.ndarray, compared: np.ndarray) -> Callable[[Iterator[pa.R
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, most=SLICE):
             cut = Cut(batch.column("text"))
-            spot = (cut.content % np.uint64(FILTER_BITS)).astype(np.int64)
-            in_ = lambda bits: bits[spot >> 3] >> (spot & 7).astype(np.uint8) & 1
-            k = np.flatnonzero(in_(wanted))
+            k = np.flatnonzero(_held(wanted, cut.content))
             if not len(k):
                 continue
-            high, full = np.append(cut.first[1:], len(cut.shingle)), in_(compared)
+            high, full = np.append(cut.first[1:], len(cut.shingle)), _held(compared, cut.content)
             sets = [np.unique(cut.shingle[cut.first[x] : high[x]]).view(np.int64) if full[x] else None for x in k]
             number = np.arange(len(cut.doc)) - np.searchsorted(cut.doc, cut.doc)
             of = pa.array(cut.doc[k])
@@ -260,9 +269,11 @@ def _alike(least: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataF
             while queue and todo:
                 content, own = queue.pop()
                 rest = []
+                low, high = least * len(own), len(own) / least
                 for x in todo:
-                    both = len(own & x[1])
-                    if both >= least * (len(own) + len(x[1]) - both):
+                    # sets of such sizes can't be alike
+                    both = len(own & x[1]) if low <= len(x[1]) <= high else 0
+                    if both and both >= least * (len(own) + len(x[1]) - both):
                         yield content, x[0]
                         queue.append(x)
                     else:
@@ -285,23 +296,38 @@ def _alike(least: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataF
 
 
 def _filter_bits(contents: DataFrame) -> np.ndarray:
-    """A bit set for each content; the driver gets FILTER_BITS / 64 numbers at most."""
-    spot = F.col("content").bitwiseAND(F.lit(FILTER_BITS - 1).cast("long")).cast("int")
-    words = contents.select(spot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, s & 63)")).alias("b"))
+    """A bit set for each content. The driver gets MOST_BITS / 64 numbers at most; beyond that the filter lets more through."""
+    n = max(FILTER_BITS, min(MOST_BITS, 1 << (BITS_EACH * contents.count()).bit_length()))
+    spot = F.col("content").bitwiseAND(F.lit(n - 1).cast("long"))
+    words = contents.select(spot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("b"))
     got = words.toPandas()
-    full = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    full = np.zeros(n // 64, dtype=np.int64)
     full[got["w"].to_numpy()] = got["b"].to_numpy()
     return full.view(np.uint8)
 
 
+#: What orders the places of a cluster or block: rows without a doc_id come last.
+PLACE = ["none", "doc_id", "row_id", "copy", "place"]
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("row_id"))
+
+
+def _numbered(found: DataFrame) -> DataFrame:
+    """Adds `copy`, which tells equal rows apart: their records are equal, so that the n-th of each make up the n-th row; and `none`."""
+    of = Window.partitionBy("doc_id", "row_id", "place", "content").orderBy("doc_id")
+    return found.withColumn("copy", F.row_number().over(of) - 1).withColumn("none", F.col("doc_id").isNull())
+
+
 def clustered(docs: DataFrame, similarity: float = 0.8, recall: float = 0.98) -> DataFrame:
-    """Paragraphs that have a near-equal one elsewhere: doc_id, row_id, number, place, size, cluster, kept.
+    """Paragraphs that have a near-equal one elsewhere: doc_id, row_id, copy, number, place, size, cluster, kept.
 
     number and place count paragraphs and words of a row from 0, size counts words; cluster is the same for all paragraphs
-    reachable by links; kept marks the first of each cluster by (doc_id, row_id, place). row_id tells rows of one doc_id
-    apart. Null, empty and wordless texts have no paragraphs.
+    reachable by links; kept marks the first of each cluster by (doc_id, row_id, copy, place), rows without a doc_id last.
+    row_id tells rows of one doc_id apart, and copy equal rows. Null, empty and wordless texts have no paragraphs.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("row_id"))
+    rows = _rows(docs)
     bands, deep = tune_bands(similarity, recall)
     keyed = rows.mapInArrow(_keyed(bands, deep), "key long, content long, n long")
     met = checkpoint(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_repeated, "key long, content long, many boolean"))
@@ -314,47 +340,49 @@ def clustered(docs: DataFrame, similarity: float = 0.8, recall: float = 0.98) ->
     roots = components(links)
     repeated = found.groupBy("content").agg(F.count("*").alias("times")).withColumnRenamed("content", "c")
     clusters = repeated.join(roots, repeated["c"] == roots["node"], "left").where("times > 1 or root is not null").select(apart(F.col("c")).alias("c"), F.coalesce("root", "c").alias("cluster"))
-    members = found.drop("shingles").join(clusters, found["content"] == clusters["c"]).drop("c", "content")
-    members = checkpoint(members)
-    first = members.groupBy("cluster").agg(F.min(F.struct("doc_id", "row_id", "place")).alias("first")).select(apart(F.col("cluster")).alias("of"), "first")
-    kept = F.struct("doc_id", "row_id", "place").eqNullSafe(F.col("first"))
-    return members.join(first, members["cluster"] == first["of"]).select("doc_id", "row_id", "number", "place", "size", "cluster", kept.alias("kept"), F.col("first.doc_id").alias("first_doc_id"))
+    members = found.drop("shingles").join(clusters, found["content"] == clusters["c"]).drop("c")
+    members = checkpoint(_numbered(members).drop("content"))
+    first = members.groupBy("cluster").agg(F.min(F.struct(*PLACE)).alias("first")).select(apart(F.col("cluster")).alias("of"), "first")
+    kept = F.struct(*PLACE).eqNullSafe(F.col("first"))
+    return members.join(first, members["cluster"] == first["of"]).select("doc_id", "row_id", "copy", "number", "place", "size", "cluster", kept.alias("kept"), F.col("first.doc_id").alias("first_doc_id"))
 
 
 def repeated_blocks(docs: DataFrame) -> DataFrame:
-    """Blocks that several rows hold word by word, extended: doc_id, row_id, place, size, cluster, kept, first_doc_id.
+    """Blocks that several rows hold word by word, extended: doc_id, row_id, copy, place, size, cluster, kept, first_doc_id.
 
-    A block's first place by (doc_id, row_id, place) is kept and extended as far as the others are that are compared with it.
+    A block's first place by (doc_id, row_id, copy, place), rows without a doc_id last, is kept and extended as far as the
+    others are that are compared with it.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("row_id"))
-    held = rows.mapInArrow(_picked, "content long, row_id long").groupBy("content").agg(F.min("row_id").alias("low"), F.max("row_id").alias("high"))
+    rows = _rows(docs)
+    held = rows.withColumn("at", F.monotonically_increasing_id()).mapInArrow(_picked, "content long, low long, high long").groupBy("content").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     wanted = checkpoint(held.where("low != high").select(F.col("content").alias("c")))
     around = _around(_filter_bits(wanted.withColumnRenamed("c", "content")))
     found = rows.mapInArrow(around, "doc_id long, row_id long, place long, content long, before array<long>, after array<long>")
-    found = checkpoint(found.join(wanted, found["content"] == wanted["c"], "left_semi"))
-    first = found.groupBy("content").agg(F.min(F.struct("doc_id", "row_id", "place", "before", "after")).alias("first")).select(apart(F.col("content")).alias("of"), "first")
+    found = checkpoint(_numbered(found.join(wanted, found["content"] == wanted["c"], "left_semi")))
+    first = found.groupBy("content").agg(F.min(F.struct(*PLACE, "before", "after")).alias("first")).select(apart(F.col("content")).alias("of"), "first")
 
     def alike(side: str) -> Column:
         other = F.array_position(F.zip_with(side, f"first.{side}", lambda x, y: ~x.eqNullSafe(y)), True)
         return F.when(other == 0, F.size(side)).otherwise(other - 1).cast("long")
 
-    own = F.struct("doc_id", "row_id", "place").eqNullSafe(F.struct("first.doc_id", "first.row_id", "first.place"))
-    met = found.join(first, found["content"] == first["of"]).where(~own)
-    met = checkpoint(met.select("doc_id", "row_id", "place", "content", alike("before").alias("l"), alike("after").alias("r"), F.struct("first.doc_id", "first.row_id", "first.place").alias("first")))
+    at = F.struct(*(F.col(f"first.{c}") for c in PLACE))
+    met = found.join(first, found["content"] == first["of"]).where(~F.struct(*PLACE).eqNullSafe(at))
+    met = checkpoint(met.select(*PLACE, "content", alike("before").alias("l"), alike("after").alias("r"), at.alias("first")))
     kept = met.groupBy("content", "first").agg(F.max("l").alias("l"), F.max("r").alias("r")).select("first.*", "content", "l", "r", F.lit(True).alias("kept"), F.col("first.doc_id").alias("first_doc_id"))
-    gone = met.select("doc_id", "row_id", "place", "content", "l", "r", F.lit(False).alias("kept"), F.col("first.doc_id").alias("first_doc_id"))
-    return kept.unionByName(gone).select("doc_id", "row_id", (F.col("place") - F.col("l")).alias("place"), (F.col("l") + F.col("r") + BLOCK).alias("size"), F.col("content").alias("cluster"), "kept", "first_doc_id")
+    gone = met.select(*PLACE, "content", "l", "r", F.lit(False).alias("kept"), F.col("first.doc_id").alias("first_doc_id"))
+    return kept.unionByName(gone).select("doc_id", "row_id", "copy", (F.col("place") - F.col("l")).alias("place"), (F.col("l") + F.col("r") + BLOCK).alias("size"), F.col("content").alias("cluster"), "kept", "first_doc_id")
 
 
 def repeated_passages(docs: DataFrame, least_words: int = 20, similarity: float = 0.8, recall: float = 0.98) -> DataFrame:
-    """One row per passage: doc_id, row_id, start_word, end_word, n_words, removed_words, first_doc_ids, clusters, kept.
+    """One row per passage: doc_id, row_id, copy, start_word, end_word, n_words, removed_words, first_doc_ids, clusters, kept.
 
     A passage is a run of clustered paragraphs and repeated blocks, side by side or overlapping, of `least_words` words or
-    more. kept: none of them is a removal; removed_words counts the words of those that are. first_doc_ids are the documents that keep them.
+    more. kept: none of them is a removal; removed_words counts the words of those that are. first_doc_ids are the documents that keep them. Equal rows, and rows of one
+    doc_id, are documents of their own: each copy but the first is removed. Rows without a doc_id keep a passage only if no other has it.
     """
     found = clustered(docs, similarity, recall).drop("number")
     found = found.unionByName(repeated_blocks(docs).select(*found.columns))
-    per_row = found.groupBy("doc_id", "row_id").agg(F.array_sort(F.collect_set(F.struct("place", "size", "cluster", "kept", "first_doc_id"))).alias("all"))
+    per_row = found.groupBy("doc_id", "row_id", "copy").agg(F.array_sort(F.collect_set(F.struct("place", "size", "cluster", "kept", "first_doc_id"))).alias("all"))
     joined = F.aggregate(
         "all", F.expr("cast(array() as array<struct<start:bigint,end:bigint,gone:bigint,removed:bigint,firsts:array<bigint>,clusters:array<bigint>>>)"),
         lambda acc, x: F.when(
@@ -362,8 +390,8 @@ def repeated_passages(docs: DataFrame, least_words: int = 20, similarity: float
             F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(_grown(F.element_at(acc, -1), x))),
         ).otherwise(F.concat(acc, F.array(_grown(None, x)))),
     )
-    runs = per_row.select("doc_id", "row_id", F.explode(joined).alias("r")).where(F.expr(f"r.end - r.start >= {least_words}"))
-    return runs.select("doc_id", "row_id", F.col("r.start").alias("start_word"), F.col("r.end").alias("end_word"), F.expr("r.end - r.start").alias("n_words"), F.col("r.removed").alias("removed_words"),
+    runs = per_row.select("doc_id", "row_id", "copy", F.explode(joined).alias("r")).where(F.expr(f"r.end - r.start >= {least_words}"))
+    return runs.select("doc_id", "row_id", "copy", F.col("r.start").alias("start_word"), F.col("r.end").alias("end_word"), F.expr("r.end - r.start").alias("n_words"), F.col("r.removed").alias("removed_words"),
                        F.array_sort(F.array_distinct("r.firsts")).alias("first_doc_ids"), F.array_sort(F.array_distinct("r.clusters")).alias("clusters"), F.expr("r.removed = 0").alias("kept"))
 
 

@@ -60,7 +60,7 @@ def op7_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.repeated_passages(read(spark, sf_dir, "documents")).drop("row_id")
+    return paragraphs.repeated_passages(read(spark, sf_dir, "documents")).drop("row_id", "copy")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
