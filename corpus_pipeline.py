@@ -13,7 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placelake.llm import decontaminate, language, mixing, sharding, simhash
-from placelake.llm.queries import WEIGHTS, domains
+from placelake.llm.queries import domains
+
+#: Domains that keep the tokens they have, whatever their share; all others, the toxic ones, shall have none.
+WANTED = {"good clean", "plain clean"}
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +35,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go whose rate in the mixture is under a half: those of domains without a share, toxic ones."""
-    return mixing.drop_unwanted(docs, domains(spark.read.parquet(f"{sf_dir}/labels.parquet")), WEIGHTS)
+    """Documents go whose rate in the mixture is under a half: toxic ones. Clean domains' targets are the tokens they have, so that their rates stay near 1."""
+    return mixing.drop_unwanted(docs, domains(spark.read.parquet(f"{sf_dir}/labels.parquet")), WANTED)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
