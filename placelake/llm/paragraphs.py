@@ -37,7 +37,7 @@ OTHER = r"[^\p{L}\p{N}_]"
 SLICE = 2 << 20
 
 
-def tune_bands(similarity: float, recall: float, apart: float = 0.3, at_most: float = 0.1) -> tuple[int, int]:
+def tune_bands(similarity: float, recall: float, apart: float = 0.3, at_most: float = 0.2) -> tuple[int, int]:
     """(bands, rows): the fewest keys that bring pairs of that similarity together with probability `recall`, and pairs that are alike by `apart` with `at_most`."""
     rows = 1
     while True:
@@ -249,7 +249,7 @@ def _sieved(wanted: np.ndarray, compared: np.ndarray) -> Callable[[Iterator[pa.R
             if not len(k):
                 continue
             high, full = np.append(cut.first[1:], len(cut.shingle)), _held(compared, cut.content)
-            sets = [np.unique(cut.shingle[cut.first[x] : high[x]]).view(np.int64) if full[x] else None for x in k]
+            sets = [np.unique(cut.shingle[cut.first[x] : high[x]].view(np.int64)) if full[x] else None for x in k]
             number = np.arange(len(cut.doc)) - np.searchsorted(cut.doc, cut.doc)
             of = pa.array(cut.doc[k])
             yield pa.RecordBatch.from_arrays([
@@ -259,38 +259,79 @@ def _sieved(wanted: np.ndarray, compared: np.ndarray) -> Callable[[Iterator[pa.R
     return run
 
 
-def _alike(least: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Links within buckets, which come sorted: each paragraph reached is searched from once, against those not reached yet."""
-
-    def links(rows: list[tuple[int, frozenset]]) -> Iterator[tuple[int, int]]:
-        todo = list({c: s for c, s in rows}.items())
-        while len(todo) > 1:
-            queue = [todo.pop()]
-            while queue and todo:
-                content, own = queue.pop()
-                rest = []
-                low, high = least * len(own), len(own) / least
-                for x in todo:
-                    # sets of such sizes can't be alike
-                    both = len(own & x[1]) if low <= len(x[1]) <= high else 0
-                    if both and both >= least * (len(own) + len(x[1]) - both):
-                        yield content, x[0]
-                        queue.append(x)
-                    else:
-                        rest.append(x)
-                todo = rest
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, rows = None, []
-        for frame in frames:
-            out = []
-            for k, c, s in zip(frame["key"], frame["content"], frame["shingles"], strict=True):
-                if k != key:
-                    out += links(rows)
-                    key, rows = k, []
-                rows.append((c, frozenset(s)))
-            yield pd.DataFrame(out, columns=["a", "b"])
-        yield pd.DataFrame(list(links(rows)), columns=["a", "b"])
+def _near(own: np.ndarray, values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, least: float) -> np.ndarray:
+    """Which of the sets, side by side in `values`, each sorted, have a Jaccard similarity of `least` with the sorted set `own`."""
+    index = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    values = values[index]
+    same = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
+    both = np.add.reduceat(same.astype(np.int64), np.cumsum(sizes) - sizes)
+    return both >= least * (len(own) + sizes - both)
+
+
+def bucket_links(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, least: float) -> tuple[list[int], list[int]]:
+    """A spanning forest of the links within one bucket: each set that is reached is searched from once, against those not reached yet."""
+    left, right = [], []
+    todo = np.arange(len(starts))
+    while len(todo) > 1:
+        queue, todo = [int(todo[0])], todo[1:]
+        while queue and len(todo):
+            x = queue.pop()
+            k = np.flatnonzero((sizes[todo] >= least * sizes[x]) & (least * sizes[todo] <= sizes[x]))  # sets of other sizes can't be alike
+            if not len(k):
+                continue
+            near = k[_near(values[starts[x] : starts[x] + sizes[x]], values, starts[todo[k]], sizes[todo[k]], least)]
+            left += [x] * len(near)
+            right += todo[near].tolist()
+            queue += todo[near].tolist()
+            todo = np.delete(todo, near)
+    return left, right
+
+
+def _links(table: pa.Table, least: float) -> pa.RecordBatch:
+    """Links within buckets, whose rows (key, content, shingles) lie side by side."""
+    key, content = table.column("key").to_numpy(), table.column("content").to_numpy()
+    lists = table.column("shingles").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    offsets = np.asarray(lists.offsets).astype(np.int64)
+    values, starts, sizes = lists.values.to_numpy(), offsets[:-1], np.diff(offsets)
+    cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    left, right = [], []
+    pairs = cut[np.diff(np.append(cut, len(key))) == 2]  # most buckets
+    own = np.flatnonzero((sizes[pairs] >= least * sizes[pairs + 1]) & (sizes[pairs + 1] >= least * sizes[pairs]))
+    for a in pairs[own].tolist():
+        x, y = values[starts[a] : starts[a] + sizes[a]], values[starts[a + 1] : starts[a + 1] + sizes[a + 1]]
+        both = len(set(x.tolist()).intersection(y.tolist()))
+        if both >= least * (len(x) + len(y) - both):
+            left.append(a)
+            right.append(a + 1)
+    for a, b in zip(cut.tolist(), np.append(cut[1:], len(key)).tolist(), strict=True):
+        if b - a > 2:
+            x, y = bucket_links(values, starts[a:b], sizes[a:b], least)
+            left += [a + k for k in x]
+            right += [a + k for k in y]
+    return pa.RecordBatch.from_arrays([pa.array(content[np.array(left, dtype=np.int64)]), pa.array(content[np.array(right, dtype=np.int64)])], names=["a", "b"])
+
+
+def _alike(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows come sorted by key; a bucket is gathered as columns of numbers, whatever the batches it comes in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column("key").to_numpy()
+            if held and key[0] != last:
+                yield _links(pa.Table.from_batches(held), least)
+                held = []
+            cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
+            if cut:
+                yield _links(pa.Table.from_batches([*held, batch.slice(0, cut)]), least)
+                held = []
+            held.append(batch.slice(cut))
+            last = key[-1]
+        if held:
+            yield _links(pa.Table.from_batches(held), least)
 
     return run
 
@@ -336,7 +377,7 @@ def clustered(docs: DataFrame, similarity: float = 0.8, recall: float = 0.98) ->
     found = checkpoint(rows.mapInArrow(sieve, "doc_id long, row_id long, number long, place long, size long, content long, shingles array<long>"))
     sets = found.where("shingles is not null").groupBy("content").agg(F.first("shingles").alias("shingles"))
     compared = near.join(sets.select(F.col("content").alias("c"), "shingles"), near["content"] == F.col("c")).select("key", "content", "shingles")
-    links = compared.repartition("key").sortWithinPartitions("key").mapInPandas(_alike(similarity), "a long, b long")
+    links = compared.repartition("key").sortWithinPartitions("key").mapInArrow(_alike(similarity), "a long, b long")
     roots = components(links)
     repeated = found.groupBy("content").agg(F.count("*").alias("times")).withColumnRenamed("content", "c")
     clusters = repeated.join(roots, repeated["c"] == roots["node"], "left").where("times > 1 or root is not null").select(apart(F.col("c")).alias("c"), F.coalesce("root", "c").alias("cluster"))
