@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Text handled at once in a Python worker, whatever the size of the Arrow batch that arrives.
 SLICE_BYTES = 8 << 20
+#: What words are compared without, beside case: all but letters, digits and underscores.
+OTHER = r"[^\p{L}\p{N}_]"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -64,6 +66,11 @@ def coded_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return codes, words, offsets
 
 
+def plain_words(words: pa.Array) -> pa.Array:
+    """Lower case, letters, digits and underscores only."""
+    return pc.replace_substring_regex(pc.utf8_lower(words), f"{OTHER}+", "")
+
+
 def flat_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     """As coded_words, the distinct words as a list."""
     codes, words, offsets = coded_words(texts)

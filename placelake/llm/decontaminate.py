@@ -1,113 +1,186 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
-
-A pass over the corpus finds where word trigrams of test items occur and cuts out the passage around them, as codes of the
-items' words. Passages are aligned with the item, word by word. How frequent a seed is decides nothing; left out are only
-passages with too few of the item's words to reach the score by any alignment.
+"""Benchmark decontamination: rare seeds, then Smith-Waterman alignment of words.
+
+Seeds are pairs of an item's words, next to each other or with one word between them, and so they are in the text. They miss
+nothing: an alignment of share s with an item of n words has m matches and at most 2m - 2sn errors, so that of its m - 1
+pairs of neighbouring matches sn - 1 or more have one error at most between them, and these are seeds. A first pass over the
+corpus counts seeds. Of each item's, the most frequent ones are left out, half as many as an alignment needs; a second pass
+finds the others, and where enough different ones of an item come together, a passage is cut out around them, as codes of the
+items' words, and aligned with the item, word by word.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placelake.llm.common import checkpoint, flat_words, text_slices
+from placelake.llm.common import checkpoint, coded_words, plain_words, text_slices
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Bytes of test items that are taken at once; more items mean more passes, not more memory.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+#: How far apart the words of a seed may lie.
+REACH = 2
 FOUND = "doc_id long, item long, at long, words array<int>"
 
 
-def plain(word: str) -> str:
-    """Lower case, letters, digits and underscores only."""
-    return re.sub(r"\W+", "", word.lower())
+def seeds_needed(n: int, least: float) -> int:
+    """Of an item of n words, the seeds that any alignment of share `least` holds; `least` times n is over 1, or else it is only one that holds some."""
+    return max(1, ceil(least * n - 1 - 1e-9))
+
+
+def gaps_allowed(n: int, least: float) -> int:
+    """Errors that an alignment of share `least` with an item of n words has at most."""
+    return int(2 * n * (1 - least) + 1e-9)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ x >> np.uint64(29)
+
+
+def pair_codes(codes: np.ndarray, gap: int) -> np.ndarray:
+    """A 64-bit code for each word and the one `gap` after it, whatever the gap, or for the word alone; codes are nonnegative."""
+    return _joined(codes[: max(0, len(codes) - gap)], codes[gap:], gap)
+
+
+def _joined(a: np.ndarray, b: np.ndarray, gap: int) -> np.ndarray:
+    return _mix((a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)) + np.uint64(1 if gap else 1 << 63))
 
 
 @dataclass
 class Items:
-    """A block of test items, coded: words by number, and the distinct grams (as mixed 64-bit codes, sorted) with their places."""
+    """A block of test items, coded: words by number, and the distinct seeds (sorted codes) with their places, by seed."""
 
     ids: list[int | None]
-    vocabulary: dict[str, int]
+    vocabulary: pa.Array
     words: list[np.ndarray]
-    n: int
-    grams: np.ndarray
-    first: np.ndarray  # for each gram, where its places start
+    seeds: np.ndarray
+    first: np.ndarray  # for each seed, where its places start
     place_item: np.ndarray
     place_at: np.ndarray
-
-
-def gram_codes(codes: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit code for each run of n words; codes is an integer array."""
-    if len(codes) < n:
-        return np.zeros(0, dtype=np.uint64)
-    out = np.zeros(len(codes) - n + 1, dtype=np.uint64)
-    for k in range(n):
-        out = (out ^ (codes[k : k + len(out)].astype(np.uint64) + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    return out
-
-
-def code_items(rows: list[tuple[int | None, str | None]], n: int = 3) -> Items:
-    """Items without a word are left out; those of fewer than n words have a single gram, all their words, of that length."""
-    vocabulary: dict[str, int] = {}
-    ids, words = [], []
-    for item_id, text in rows:
-        own = [vocabulary.setdefault(p, len(vocabulary)) for w in (text or "").split() if (p := plain(w))]
-        if own:
-            ids.append(item_id)
-            words.append(np.array(own, dtype=np.int32))
-    codes = [gram_codes(w, min(n, len(w))) for w in words]
-    flat = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
-    item = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
-    at = np.concatenate([np.arange(len(c)) for c in codes]) if codes else np.zeros(0, np.int64)
+    sizes: np.ndarray  # words of each item
+    need: np.ndarray  # different seeds of each item that must come together
+    least: float
+
+    def rarest(self, counts: np.ndarray) -> Items:
+        """Without the most frequent places of each item, half as many as an alignment holds less one, so that it still holds the rest."""
+        seed = np.repeat(np.arange(len(self.seeds)), np.diff(self.first))
+        spare = (self.need - 1) // 2
+        cost = counts[seed] * np.diff(self.first)[seed]
+        order = np.lexsort((seed, -cost, self.place_item))
+        item = self.place_item[order]
+        rank = np.arange(len(order)) - np.searchsorted(item, item)
+        keep = np.ones(len(order), dtype=bool)
+        keep[order] = rank >= spare[item]
+        n = np.bincount(seed[keep], minlength=len(self.seeds))
+        full = n > 0
+        first = np.concatenate([[0], np.cumsum(n[full])])
+        return Items(self.ids, self.vocabulary, self.words, self.seeds[full], first, self.place_item[keep], self.place_at[keep], self.sizes, self.need - spare, self.least)
+
+
+def code_items(rows: list[tuple[int | None, str | None]], least: float) -> Items:
+    """Items without a word are left out; one of a single word has that word as its seed."""
+    codes, words, offsets = coded_words(pa.array([t for _, t in rows], pa.large_string()))
+    plain = plain_words(words)
+    full = pc.greater(pc.binary_length(plain), 0).to_numpy(zero_copy_only=False).astype(bool)
+    named = plain.dictionary_encode()
+    number = named.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+    own = [number[c[full[c]]] for c in np.split(codes, offsets[1:-1])] if len(words) else [np.zeros(0, np.int32)] * len(rows)
+    ids, kept = [r[0] for r, w in zip(rows, own, strict=True) if len(w)], [w for w in own if len(w)]
+    seeds, item, at = [], [], []
+    for k, w in enumerate(kept):
+        for gap in range(1, REACH + 1) if len(w) > 1 else [0]:
+            code = pair_codes(w, gap)
+            seeds.append(code)
+            item.append(np.full(len(code), k))
+            at.append(np.arange(len(code)))
+    flat, item, at = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (seeds, item, at))
     order = np.argsort(flat, kind="stable")
-    grams, first = np.unique(flat[order], return_index=True)
-    return Items(ids, vocabulary, words, n, grams, np.append(first, len(flat)), item[order], at[order])
+    distinct, first = np.unique(flat[order], return_index=True)
+    sizes = np.array([len(w) for w in kept], dtype=np.int64)
+    need = np.array([seeds_needed(n, least) for n in sizes], dtype=np.int64)
+    return Items(ids, named.dictionary, kept, distinct, np.append(first, len(flat)), item[order], at[order], sizes, need, least)
+
+
+def _known(items: Items, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all texts' words, -1 where no item has the word, and where each text's words start."""
+    codes, words, offsets = coded_words(texts)
+    plain = plain_words(words)
+    full = pc.greater(pc.binary_length(plain), 0).to_numpy(zero_copy_only=False).astype(bool)[codes]
+    known = pc.fill_null(pc.index_in(plain, value_set=items.vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int32)[codes]
+    return known[full], np.concatenate([[0], np.cumsum(full)])[offsets]
+
+
+def _hits(items: Items, known: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Position, seed and text of all seeds found."""
+    here = np.flatnonzero(known >= 0)  # few words, mostly
+    doc = np.searchsorted(starts, here, side="right") - 1
+    out = []
+    for gap in range(REACH + 1):
+        if gap and not len(here):
+            break
+        ok = here + gap < starts[doc + 1]
+        p, d = here[ok], doc[ok]
+        ok = known[p + gap] >= 0
+        p, d = p[ok], d[ok]
+        code = _joined(known[p], known[p + gap], gap)
+        k = np.minimum(np.searchsorted(items.seeds, code), len(items.seeds) - 1)
+        found = items.seeds[k] == code
+        out.append(np.stack([p[found], k[found], d[found]]))
+    pos, seed, doc = np.concatenate(out, axis=1)
+    return pos, seed, doc
+
+
+def _counted(items: Items) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(len(items.seeds), dtype=np.int64)
+        for batch in batches:
+            for part in text_slices([batch]):
+                _, seed, _ = _hits(items, *_known(items, part.column("text")))
+                counts += np.bincount(seed, minlength=len(counts))
+        met = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(counts[met])], names=["seed", "n"])
+
+    return run
 
 
 def _passages(items: Items) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    lengths = sorted({min(items.n, len(w)) for w in items.words})
+    allowed = np.array([gaps_allowed(n, items.least) for n in items.sizes], dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            codes, words, offsets = flat_words(batch.column("text"))
-            known = np.array([items.vocabulary.get(p, -1) if (p := plain(w)) else -2 for w in words] or [0], dtype=np.int32)[codes]
-            full = known != -2
-            starts = np.concatenate([[0], np.cumsum(full)])[offsets]
-            known = known[full]
-            hits = []
-            for n in lengths:
-                g = gram_codes(known, n)
-                k = np.minimum(np.searchsorted(items.grams, g), len(items.grams) - 1)
-                ok = (items.grams[k] == g) & (known[: len(g)] >= 0)
-                p = np.flatnonzero(ok)
-                if len(p):
-                    d = np.searchsorted(starts, p, side="right") - 1
-                    inside = p + n <= starts[d + 1]
-                    hits.append(np.stack([p, k[p], d])[:, inside])
-            if not hits:
+            known, starts = _known(items, batch.column("text"))
+            pos, seed, doc = _hits(items, known, starts)
+            if not len(pos):
                 continue
-            pos, gram, doc = np.concatenate(hits, axis=1)
-            times = items.first[gram + 1] - items.first[gram]
-            pos, gram, doc = (np.repeat(x, times) for x in (pos, gram, doc))
-            place = np.arange(len(pos)) - np.repeat(np.cumsum(times) - times, times) + items.first[gram]
-            item, at = items.place_item[place], items.place_at[place]
+            times = items.first[seed + 1] - items.first[seed]
+            pos, doc = np.repeat(pos, times), np.repeat(doc, times)
+            place = np.arange(len(pos)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(items.first[seed], times)
+            item = items.place_item[place]
             order = np.lexsort((pos, item, doc))
-            pos, doc, item, at = (x[order] for x in (pos, doc, item, at))
-            size = np.array([len(w) for w in items.words])[item]
+            pos, doc, item, place = (x[order] for x in (pos, doc, item, place))
             new = np.ones(len(pos), dtype=bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (pos[1:] - pos[:-1] > size[1:] + size[1:] // 4 + 4)
+            new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (pos[1:] - pos[:-1] > (items.sizes + allowed)[item[1:]])
+            group = np.cumsum(new) - 1
+            order = np.lexsort((place, group))
+            fresh = np.ones(len(order), dtype=bool)
+            fresh[1:] = (group[order][1:] != group[order][:-1]) | (place[order][1:] != place[order][:-1])
             cut = np.flatnonzero(new)
-            low = np.maximum(np.minimum.reduceat(pos - at, cut) - size[cut] // 4 - 4, starts[doc[cut]])
-            high = np.minimum(np.maximum.reduceat(pos - at + size, cut) + size[cut] // 4 + 4, starts[doc[cut] + 1])
+            enough = np.bincount(group[order][fresh], minlength=len(cut)) >= items.need[item[cut]]
+            if not enough.any():
+                continue
+            at, room = items.place_at[place], allowed[item]
+            low = np.maximum(np.minimum.reduceat(pos - at - room, cut), starts[doc[cut]])[enough]
+            high = np.minimum(np.maximum.reduceat(pos - at + items.sizes[item] + room, cut), starts[doc[cut] + 1])[enough]
+            cut = cut[enough]
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id").take(pa.array(doc[cut])), pa.array(item[cut].astype(np.int64)),
                 pa.array(low - starts[doc[cut]]), pa.array([known[a:b] for a, b in zip(low, high, strict=True)], pa.list_(pa.int32())),
@@ -152,14 +225,14 @@ def reachable(item: np.ndarray, passage: np.ndarray) -> float:
     return MATCH * np.minimum(own, n).sum() / (MATCH * len(item))
 
 
-def _aligner(items: Items, least: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _aligner(items: list[np.ndarray], least: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if not len(frame):
                 continue
-            near = frame[[reachable(items.words[i], w) >= least for i, w in zip(frame["item"], frame["words"], strict=True)]]
+            near = frame[[reachable(items[i], w) >= least for i, w in zip(frame["item"], frame["words"], strict=True)]]
             for item, own in near.groupby("item"):
-                words = items.words[item]
+                words = items[item]
                 own = own.iloc[np.argsort([len(w) for w in own["words"]], kind="stable")]
                 step = max(1, 2_000_000 // max(1, len(own["words"].iloc[-1])))
                 for a in range(0, len(own), step):
@@ -173,10 +246,10 @@ def _aligner(items: Items, least: float) -> Callable[[Iterator[pd.DataFrame]], I
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.5) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5) -> DataFrame:
     """doc_id, item_id, score, start_word, end_word: each pair of a document and a test item whose best alignment scores
     `least` or more, as a share of the score of a full copy; words are counted from 0, without those that have no letter,
-    digit or underscore.
+    digit or underscore. No such pair is missed where `least` times an item's words is over 1 (three words or more, by default).
 
     docs: doc_id, text, read whole; benchmark: item_id, text, in blocks of at most about BLOCK_BYTES. Null and wordless
     texts and items match nothing. Repeated rows count once for each pair of ids; null ids group together.
@@ -184,15 +257,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null")
     blocks = -(-int(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES)
-    found = None
+    found, texts = None, docs.select(F.col("doc_id").cast("long"), "text")
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        coded = code_items([tuple(r) for r in rows], n)
+        coded = code_items([tuple(r) for r in rows], least)
         if not coded.words:
             continue
-        cut = checkpoint(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_passages(coded), FOUND))
+        met = texts.select("text").mapInArrow(_counted(coded), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toPandas()  # a block's seeds
+        counts = np.zeros(len(coded.seeds), dtype=np.int64)
+        counts[met["seed"].to_numpy()] = met["n"].to_numpy()
+        cut = checkpoint(texts.mapInArrow(_passages(coded.rarest(counts)), FOUND))
         names = spark.createDataFrame(list(enumerate(coded.ids)), "of int, item_id long")
-        hits = cut.mapInPandas(_aligner(coded, least), "doc_id long, item long, score double, start_word long, end_word long")
+        hits = cut.mapInPandas(_aligner(coded.words, least), "doc_id long, item long, score double, start_word long, end_word long")
         best = hits.groupBy("doc_id", "item").agg(F.max(F.struct("score", "start_word", "end_word")).alias("best"))
         best = best.join(F.broadcast(names), best["item"] == names["of"]).select("doc_id", "item_id", "best.*")  # names: the block's items
         found = best if found is None else found.unionByName(best)

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from placelake.llm.common import apart, checkpoint, coded_words, text_slices
+from placelake.llm.common import OTHER, apart, checkpoint, coded_words, plain_words, text_slices
 from placelake.llm.components import components
 
 SHINGLE, LEAST_SENTENCE = 5, 8
@@ -31,8 +31,6 @@ BLOCK, WINDOW = 20, 31
 #: Bits of the filter that a second scan is sieved with: least, for each content, and most. Joins after it are exact.
 FILTER_BITS, BITS_EACH, MOST_BITS = 1 << 24, 16, 1 << 29
 NEWLINE = "\x1e"
-#: What words are compared without.
-OTHER = r"[^\p{L}\p{N}_]"
 #: Bytes of text cut at once: some fifteen arrays of its words and shingles are held beside it.
 SLICE = 2 << 20
 
@@ -62,7 +60,7 @@ class Cut:
     def __init__(self, texts: pa.Array, words_only: bool = False):
         marked = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\n", f" {NEWLINE} ")
         codes, words, offsets = coded_words(marked)
-        plain = pc.replace_substring_regex(pc.utf8_lower(words), f"{OTHER}+", "")
+        plain = plain_words(words)
         full = _each(pc.greater(pc.binary_length(plain), 0))[codes]
         ends = _each(pc.match_substring_regex(words, f"^{NEWLINE}$|[.!?。]{OTHER}*$"))[codes]
         hashes = pd.util.hash_array(plain.to_numpy(zero_copy_only=False), categorize=False)[codes][full] if len(words) else np.zeros(0, np.uint64)
