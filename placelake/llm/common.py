@@ -46,6 +46,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: i
             to = max(at + 1, int(np.searchsorted(sizes, done + most, side="right")))
             yield batch.slice(at, to - at)
             at = to
+        pa.default_memory_pool().release_unused()  # or else a worker keeps what its largest batch took
 
 
 def coded_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:

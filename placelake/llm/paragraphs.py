@@ -32,7 +32,7 @@ BLOCK, WINDOW = 20, 31
 FILTER_BITS, BITS_EACH, MOST_BITS = 1 << 24, 16, 1 << 29
 NEWLINE = "\x1e"
 #: Bytes of text cut at once: some fifteen arrays of its words and shingles are held beside it.
-SLICE = 2 << 20
+SLICE = 1 << 19
 
 
 def tune_bands(similarity: float, recall: float, apart: float = 0.3, at_most: float = 0.2) -> tuple[int, int]:
@@ -209,23 +209,27 @@ def _keyed(bands: int, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
             if not len(cut.first):
                 continue
             content, where, n = np.unique(cut.content, return_index=True, return_counts=True)
+            where = np.append(where, where[n > 1])  # twice, if it is there more than once
             for key in band_keys(cut, bands, rows):
-                yield pa.RecordBatch.from_arrays([pa.array(key[where].view(np.int64)), pa.array(content.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "content", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[where].view(np.int64)), pa.array(cut.content[where].view(np.int64))], names=["key", "content"])
 
     return run
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by key: (key, content) once each, for keys that more than one paragraph has; `many`: of several contents."""
-    held = [np.zeros(0, np.int64)] * 3
+    held = [np.zeros(0, np.int64)] * 2
 
-    def met(key: np.ndarray, content: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    def met(key: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         order = np.lexsort((content, key))
-        key, content, n = key[order], content[order], n[order]
+        key, content = key[order], content[order]
         new = np.ones(len(key), dtype=bool)
         new[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
         cut = np.flatnonzero(new)
-        key, content, n = key[cut], content[cut], np.add.reduceat(n, cut) if len(cut) else n
+        return key[cut], content[cut], np.diff(np.append(cut, len(key)))
+
+    def out(key: np.ndarray, content: np.ndarray) -> pa.RecordBatch:
+        key, content, n = met(key, content)
         _, back, contents = np.unique(key, return_inverse=True, return_counts=True)
         total = np.bincount(back, weights=n) if len(key) else np.zeros(0)
         keep, many = total[back] > 1, contents[back] > 1
@@ -234,9 +238,11 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         cols = [np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held)]
         cut = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0  # the last key may go on
-        yield met(*(c[:cut] for c in cols))
-        held = [c[cut:] for c in cols]
-    yield met(*held)
+        yield out(*(c[:cut] for c in cols))
+        key, content, n = met(*(c[cut:] for c in cols))  # of a hot key, only what differs is held
+        twice = np.minimum(n, 2)
+        held = [np.repeat(key, twice), np.repeat(content, twice)]
+    yield out(*held)
 
 
 def _sieved(wanted: np.ndarray, compared: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -368,7 +374,7 @@ def clustered(docs: DataFrame, similarity: float = 0.8, recall: float = 0.98) ->
     """
     rows = _rows(docs)
     bands, deep = tune_bands(similarity, recall)
-    keyed = rows.mapInArrow(_keyed(bands, deep), "key long, content long, n long")
+    keyed = rows.mapInArrow(_keyed(bands, deep), "key long, content long")
     met = checkpoint(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_repeated, "key long, content long, many boolean"))
     near = met.where("many").select("key", "content")
     sieve = _sieved(_filter_bits(met.select("content")), _filter_bits(near.select("content")))
