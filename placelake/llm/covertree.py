@@ -24,8 +24,8 @@ from placelake.llm.components import components, forest
 
 #: Vectors of a block at most, and its bytes; children of a node at most, and members that they are chosen from, about.
 BLOCK, BLOCK_BYTES, FAN, SAMPLE = 2048, 4 << 20, 32, 512
-#: Levels that are spread over the cluster; what is too large below them (vectors closer than rounding) is cut by hash.
-LEVELS = 8
+#: Levels that are spread over the cluster; what is too large below them, or has this radius at most, is cut by hash.
+LEVELS, FLAT = 8, 1e-4
 #: Room for rounding in bounds; the final test has none.
 ROUNDING = 1e-9
 NODE = ["label", "dim", "path"]
@@ -187,7 +187,7 @@ def _cap() -> Column:
     return F.greatest(F.lit(2), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_BYTES) / (F.col("dim") * 8)))).cast("int")
 
 
-def _split(members: DataFrame, most_levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
+def _split(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and the leaves' members of distinct vectors (label, dim, path, rep, times, unit), whose path is empty.
 
     Nodes: label, dim, path, up (the parent's path; null for roots), centre (null for roots), radius, leaf. A level is two
@@ -196,19 +196,22 @@ def _split(members: DataFrame, most_levels: int = LEVELS) -> tuple[DataFrame, Da
     size = members.groupBy(*NODE).agg(F.count("*").alias("size"))
     nodes = checkpoint(size.select(*NODE, F.lit(None).cast("string").alias("up"), F.lit(None).cast("array<double>").alias("centre"), F.lit(2.0).alias("radius"), (F.col("size") <= _cap()).alias("leaf"), "size"))
     open_, leaves, all_nodes = members, None, nodes
-    for level in range(most_levels + 1):
+    for level in range(LEVELS + 1):
         done = open_.join(nodes.where("leaf").select(*NODE), NODE, "left_semi")
         leaves = done if leaves is None else leaves.unionByName(done)
-        big = nodes.where("not leaf").select(*NODE, "size", F.greatest(F.lit(2), F.least(F.lit(FAN), F.ceil(2 * F.col("size") / _cap()))).cast("int").alias("fan"), F.ceil(F.col("size") / BLOCK).cast("int").alias("salts"))
+        large = nodes.where("not leaf").withColumn("salts", F.ceil(F.col("size") / BLOCK).cast("int"))
+        if large.isEmpty():
+            break
+        flat = F.lit(level == LEVELS) | (F.col("radius") <= FLAT)  # parts with their node's centre and radius
+        name = lambda k: F.concat("path", F.lit("#"), k.cast("string")).alias("path")
+        parts = large.where(flat).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        all_nodes = all_nodes.unionByName(parts.select("label", "dim", name(F.col("part")), F.col("path").alias("up"), "centre", "radius", F.lit(True).alias("leaf"), "size"))
+        within = open_.join(large.where(flat).select(*NODE, "salts"), NODE)
+        leaves = leaves.unionByName(within.select("label", "dim", name(F.pmod(F.xxhash64("rep"), F.col("salts"))), "rep", "times", "unit"))
+        big = large.where(~flat).select(*NODE, "size", F.greatest(F.lit(2), F.least(F.lit(FAN), F.ceil(2 * F.col("size") / _cap()))).cast("int").alias("fan"), "salts")
         if big.isEmpty():
             break
         inside = open_.join(big, NODE)
-        if level == most_levels:  # closer than rounding: parts with their node's centre and radius
-            part = F.concat("path", F.lit("#"), F.pmod(F.xxhash64("rep"), F.col("salts")).cast("string"))
-            cut = nodes.where("not leaf").withColumn("salts", F.ceil(F.col("size") / BLOCK).cast("int"))
-            parts = cut.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("label", "dim", F.concat("path", F.lit("#"), F.col("part").cast("string")).alias("path"), F.col("path").alias("up"), "centre", "radius", F.lit(True).alias("leaf"), "size")
-            leaves, all_nodes = leaves.unionByName(inside.withColumn("path", part).select(*leaves.columns)), all_nodes.unionByName(parts)
-            break
         drawn = inside.where(F.pmod(F.xxhash64("unit"), F.lit(1 << 30)) < F.lit(float(SAMPLE << 30)) / F.col("size"))
         pivots = checkpoint(drawn.select(*NODE, "unit", "fan").groupBy(*NODE).applyInPandas(_pivots, "label string, dim int, path string, kid long, unit binary"))
         copies = pivots.join(big, NODE).select(*NODE, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("kid").alias("rep"), F.lit(0).cast("long").alias("times"), "unit")
@@ -227,7 +230,7 @@ def _centres(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"label": f["label"], "dim": f["dim"], "path": [f"{p}.{k}" for p, k in zip(f["path"], f["kid"], strict=True)], "up": f["path"], "centre": [np.frombuffer(u) for u in f["unit"]]})
 
 
-def _near_leaves(nodes: DataFrame, reach: float, most_levels: int = LEVELS + 1) -> DataFrame:
+def _near_leaves(nodes: DataFrame, reach: float) -> DataFrame:
     """(label, dim, a, b): pairs of leaves' paths, a <= b, that no bound on the way down from the roots tells apart."""
     inner = nodes.where("up is not null").select("label", "dim", F.col("up").alias("path"), F.col("path").alias("kid"), "centre", "radius", "leaf")
     kids = inner.unionByName(nodes.where("leaf").select("label", "dim", "path", F.col("path").alias("kid"), "centre", "radius", "leaf"))
@@ -237,7 +240,7 @@ def _near_leaves(nodes: DataFrame, reach: float, most_levels: int = LEVELS + 1)
     done = pairs.where("a_leaf and b_leaf").select("label", "dim", "a", "b")
     pairs = pairs.where("not (a_leaf and b_leaf)")
     square = F.aggregate(F.zip_with("a_centre", "b_centre", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    for _ in range(most_levels):
+    for _ in range(LEVELS + 2):
         if pairs.isEmpty():
             break
         down = pairs.select("label", "dim", "a", "b").join(side("a"), ["label", "dim", "a"]).join(side("b"), ["label", "dim", "b"]).where("a != b or a_kid <= b_kid")
