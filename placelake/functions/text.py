@@ -81,13 +81,21 @@ def split_names(names: Column, base: str) -> Column:
     return F.struct(F.element_at(names, base).alias("name"), F.transform_keys(own, lambda k, v: F.substring(k, len(base) + 2, 40)).alias("names"))
 
 
+def _swaps(word: Column) -> Column:
+    """All words that a swap of two neighbouring letters makes of a word."""
+    at = F.sequence(F.lit(1), F.greatest(F.char_length(word) - 1, F.lit(1)))
+    return F.transform(at, lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.lit(1)), F.substring(word, i, F.lit(1)), F.substring(word, i + 2, F.char_length(word))))
+
+
 def osa_distance(a: Column, b: Column, most: int = 2) -> Column:
     """Edits between two words where swapping neighbours is one, up to `most` (1 or 2); null beyond.
 
-    Levenshtein gives all but swaps; what a single swap explains is found by trying each swap of `a`.
+    Levenshtein gives all but swaps; what a single swap and an edit explain is found by trying each swap of `a`, and two
+    swaps by meeting in the middle: one of `a` gives what one of `b` does.
     """
     direct = F.levenshtein(a, b, most)
-    swaps = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(a) - 1, F.lit(1))), lambda i: F.concat(F.substring(a, F.lit(1), i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, F.char_length(a))))
-    after = F.array_min(F.filter(F.transform(swaps, lambda s: F.levenshtein(s, b)), lambda d: d <= most - 1))
+    after = F.array_min(F.filter(F.transform(_swaps(a), lambda s: F.levenshtein(s, b)), lambda d: d <= most - 1))
     best = F.least(F.when(direct >= 0, direct), after + 1)
+    if most >= 2:
+        best = F.least(best, F.when((F.char_length(a) == F.char_length(b)) & F.arrays_overlap(_swaps(a), _swaps(b)), 2))
     return F.when(best <= most, best)

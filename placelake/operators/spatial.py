@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from placelake.functions import geo
 from placelake.functions.rank import Ranking, proximity
-from placelake.operators.cells import area_join, near_join
+from placelake.operators.cells import area_join, near_join, nearest_reach, shape_join
 from placelake.schema import HOUSE, LOCALITY, POI, STREET
 
 REVERSE_LAYERS = (HOUSE, POI, STREET, LOCALITY)
+#: Metres: long segments of lines are found by points between their ends, this far apart at most.
+PIECE = 1000.0
 EVERYWHERE = 20_037_600.0  # half the Earth's girth, rounded up
 
 
@@ -32,16 +34,31 @@ def _ranked(hits: DataFrame, k: int, *order) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
 
+_NO_LINES = "cast(array() as array<array<struct<lon:double,lat:double>>>)"
+
+
+def _lined() -> Column:
+    return F.size(F.coalesce("lines", F.expr(_NO_LINES))) > 0
+
+
+def _dense(line: Column) -> Column:
+    """A line's points, and points between them where its segments are longer than PIECE, so that PIECE apart at most."""
+    n = F.greatest(F.size(line) - 1, F.lit(0))
+
+    def piece(a: Column, b: Column) -> Column:
+        parts = F.greatest(F.ceil(1.5 * geo.haversine(a["lon"], a["lat"], b["lon"], b["lat"]) / PIECE), F.lit(1))
+        return F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda k: F.struct((a["lon"] + (b["lon"] - a["lon"]) * k / parts).alias("lon"), (a["lat"] + (b["lat"] - a["lat"]) * k / parts).alias("lat")))
+
+    return F.concat(F.flatten(F.zip_with(F.slice(line, 1, n), F.slice(line, 2, n), piece)), F.slice(line, -1, 1))
+
+
 def _vertices(places: DataFrame) -> tuple[DataFrame, float]:
     """(place_id, v_lon, v_lat): the points that a place is found by, and by how much its nearest point can be nearer than those."""
     if "lines" not in places.columns:
         return places.select("place_id", F.col("lon").alias("v_lon"), F.col("lat").alias("v_lat")), 0.0
-    lined = F.size(F.coalesce("lines", F.expr(f"cast(array() as {'array<array<struct<lon:double,lat:double>>>'})"))) > 0
-    longest = F.array_max(F.transform("lines", lambda l: F.array_max(F.zip_with(F.slice(l, 1, F.greatest(F.size(l) - 1, F.lit(0))), F.slice(l, 2, F.greatest(F.size(l) - 1, F.lit(0))), lambda a, b: geo.haversine(a["lon"], a["lat"], b["lon"], b["lat"])))))
-    pad = places.where(lined).agg(F.max(longest)).first()[0] or 0.0
-    at = F.when(lined, F.flatten("lines")).otherwise(F.array(F.struct("lon", "lat")))
+    at = F.when(_lined(), F.flatten(F.transform("lines", _dense))).otherwise(F.array(F.struct("lon", "lat")))
     cut = places.select("place_id", F.explode(at).alias("v"))
-    return cut.select("place_id", F.col("v.lon").alias("v_lon"), F.col("v.lat").alias("v_lat")), pad / 2
+    return cut.select("place_id", F.col("v.lon").alias("v_lon"), F.col("v.lat").alias("v_lat")), PIECE / 2
 
 
 def within(requests: DataFrame, places: DataFrame) -> DataFrame:
@@ -59,30 +76,16 @@ def within(requests: DataFrame, places: DataFrame) -> DataFrame:
     return pairs.where("distance <= radius").select("qid", "place_id", "distance")
 
 
-def nearest(requests: DataFrame, places: DataFrame, k: int = 5, start: float = 50_000.0, most: float | None = None) -> DataFrame:
+def nearest(requests: DataFrame, places: DataFrame, k: int = 5, most: float | None = None) -> DataFrame:
     """Exactly the k nearest places of each request (qid, lon, lat): qid, place_id, distance, rank; `most` caps the distance.
 
-    Rings: a request is answered once k places lie within its ring's radius; the others go on with a radius four times
-    as large. Each round is one job over the requests that are left. Ties go to the smaller place_id.
+    Places are counted by cells; each request is given a radius within which k of them lie for sure, small where they are
+    dense, and one radius join answers all. Ties go to the smaller place_id.
     """
-    left, done, radius = requests.select("qid", "lon", "lat"), [], min(start, most or start)
-    top = min(most or EVERYWHERE, EVERYWHERE)
-    while True:
-        radius = min(radius, top)
-        hits = _ranked(within(left.withColumn("radius", F.lit(radius)), places), k, "distance", "place_id")
-        if radius >= top:
-            done.append(hits)
-            break
-        full = hits.groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("qid")
-        done.append(hits.join(full, "qid", "left_semi"))
-        left = left.join(full, "qid", "left_anti")
-        if left.isEmpty():
-            break
-        radius *= 4
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
+    one = F.when(_lined(), F.struct(F.col("lines")[0][0]["lon"].alias("lon"), F.col("lines")[0][0]["lat"].alias("lat"))).otherwise(F.struct("lon", "lat")) if "lines" in places.columns else F.struct("lon", "lat")
+    counted = places.where(geo.valid("lon", "lat")).select(one.alias("c")).select(F.col("c.lon").alias("c_lon"), F.col("c.lat").alias("c_lat"))
+    asked = nearest_reach(requests.select("qid", "lon", "lat"), counted, k, ("lon", "lat"), ("c_lon", "c_lat"), min(most or EVERYWHERE, EVERYWHERE))
+    return _ranked(within(asked.withColumnRenamed("_radius", "radius"), places), k, "distance", "place_id")
 
 
 def reverse(requests: DataFrame, places: DataFrame, radius: float = 1000.0, limit: int = 1, layers=REVERSE_LAYERS) -> DataFrame:
@@ -92,19 +95,27 @@ def reverse(requests: DataFrame, places: DataFrame, radius: float = 1000.0, limi
 
 
 def in_box(requests: DataFrame, places: DataFrame) -> DataFrame:
-    """Pairs (qid, place_id) of places whose centre or lines' box meets the request's box (struct column `box`); polygons play no part."""
+    """Pairs (qid, place_id) of places whose centre or lines' box meets the request's box (struct column `box`); polygons play no part.
+
+    A place with lines is found by its box's middle, by a request grown by half a side of the place's size class: a power
+    of two, so that long lines make requests grow for long lines alone.
+    """
     points = places.where(geo.valid("lon", "lat"))
-    if "lines" in places.columns:
-        lined = F.size(F.coalesce("lines", F.expr("cast(array() as array<array<struct<lon:double,lat:double>>>)"))) > 0
-        own = F.when(lined, geo.box_union(geo.box_of_points(F.flatten("lines")), geo.bbox("lon", "lat", "lon", "lat"))).otherwise(geo.bbox("lon", "lat", "lon", "lat"))
-        boxed = points.select("place_id", own.alias("p_box"))
-        # a place with a box is asked for at its box's centre, by a request grown by the largest half sides
-        half = boxed.agg(F.max(F.expr("p_box.max_lon - p_box.min_lon")), F.max(F.expr("p_box.max_lat - p_box.min_lat"))).first()
-        dx, dy = (half[0] or 0.0) / 2, (half[1] or 0.0) / 2
-        grown = requests.select("qid", "box", geo.bbox(F.col("box.min_lon") - dx, F.col("box.min_lat") - dy, F.col("box.max_lon") + dx, F.col("box.max_lat") + dy).alias("grown"))
-        middle = boxed.select("place_id", "p_box", geo.box_center(F.col("p_box")).alias("c")).select("place_id", "p_box", F.col("c.lon").alias("lon"), F.col("c.lat").alias("lat"))
-        return area_join(middle, grown, ("lon", "lat"), "grown").where(geo.boxes_intersect(F.col("box"), F.col("p_box"))).select("qid", "place_id")
-    return area_join(points.select("place_id", "lon", "lat"), requests.select("qid", "box"), ("lon", "lat"), "box").select("qid", "place_id")
+    if "lines" not in places.columns:
+        return area_join(points.select("place_id", "lon", "lat"), requests.select("qid", "box"), ("lon", "lat"), "box").select("qid", "place_id")
+    own = F.when(_lined(), geo.box_union(geo.box_of_points(F.flatten("lines")), geo.bbox("lon", "lat", "lon", "lat"))).otherwise(geo.bbox("lon", "lat", "lon", "lat"))
+    side = F.greatest(F.expr("p_box.max_lon - p_box.min_lon"), F.expr("p_box.max_lat - p_box.min_lat"))
+    boxed = points.select("place_id", own.alias("p_box")).withColumn("class", F.when(side <= 0, SMALLEST_CLASS).otherwise(F.greatest(F.ceil(F.log2(side)), F.lit(SMALLEST_CLASS))).cast("int"))
+    boxed = boxed.withColumn("c", geo.box_center(F.col("p_box"))).select("place_id", "p_box", "class", F.col("c.lon").alias("lon"), F.col("c.lat").alias("lat"))
+    classes = [r[0] for r in boxed.select("class").distinct().collect()]  # a few dozen at most
+    grown = requests.select("qid", "box", F.explode(F.array(*map(F.lit, classes)) if classes else F.expr("cast(array() as array<int>)")).alias("class"))
+    half = F.when(F.col("class") == SMALLEST_CLASS, F.lit(2.0**SMALLEST_CLASS)).otherwise(F.pow(F.lit(2.0), F.col("class"))) / 2 + 1e-9
+    grown = grown.withColumn("grown", geo.bbox(F.col("box.min_lon") - half, F.col("box.min_lat") - half, F.col("box.max_lon") + half, F.col("box.max_lat") + half))
+    return area_join(boxed, grown, ("lon", "lat"), "grown", on=("class",)).where(geo.boxes_intersect(F.col("box"), F.col("p_box"))).select("qid", "place_id")
+
+
+#: Size classes of boxes begin at 2 to this power, in degrees.
+SMALLEST_CLASS = -12
 
 
 def spatial_only(hits: DataFrame, places: DataFrame, limit: int, with_focus: bool = True, r: Ranking = Ranking()) -> DataFrame:
@@ -121,7 +132,7 @@ def containing(requests: DataFrame, places: DataFrame, layers=(), least_layer: i
     """
     areas = keep(places.where(F.col("layer_id") >= least_layer), layers).where("size(polygons) > 0").select("place_id", "layer_id", "extent", "polygons")
     asked = requests.select("qid", F.col("lon").alias("q_lon"), F.col("lat").alias("q_lat"))
-    found = area_join(asked, areas, ("q_lon", "q_lat"), "extent").where(geo.polygons_contain("q_lon", "q_lat", F.col("polygons")))
+    found = shape_join(asked, areas, ("q_lon", "q_lat"), "extent", "polygons", geo.polygons_contain)
     size = F.expr("(extent.max_lon - extent.min_lon) * (extent.max_lat - extent.min_lat)")
     window = W.partitionBy("qid").orderBy("layer_id", size, "place_id")
     return found.select("qid", "place_id", "layer_id", F.row_number().over(window).alias("rank"))

@@ -192,6 +192,9 @@ class TextIndex:
         match = F.greatest(name_match(F.col("words"), F.col("name_words"), F.col("prefix"), r), name_match(F.col("words"), F.col("exonym_words"), F.col("prefix"), r))
         echo = city_echo(F.col("words"), F.concat("name_words", "exonym_words"), F.col("context"), F.col("prefix"), r)
         full = full.withColumn("score", F.col("score") * match * echo)
+        if "lines" in full.columns:  # ranked by the centre, told by the shape
+            near = geo.lines_distance("q_lon", "q_lat", F.col("lines"))
+            full = full.join(asked.select("qid", F.col("lon").alias("q_lon"), F.col("lat").alias("q_lat")), "qid").withColumn("distance", F.when(F.col("distance").isNotNull(), F.coalesce(near, "distance"))).drop("q_lon", "q_lat")
         full = full.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "place_id")))
         if "housenumber" not in full.columns:
             full = full.withColumn("housenumber", F.lit(None).cast("string"))

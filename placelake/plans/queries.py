@@ -89,9 +89,9 @@ def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
 r as (select qid, place_id, round(d, 1) as distance, row_number() over (partition by qid order by d, place_id) as rank from d)
 select * from r where rank <= 5""")
 def nearest_places(spark, sf_dir):
-    """The five nearest houses of each supplier (rings of cells)."""
+    """The five nearest houses of each supplier."""
     p = spatial.keep(places(spark, sf_dir), [0]).select("place_id", "lon", "lat")
-    return spatial.nearest(points(spark, sf_dir), p, 5, start=1_000_000.0).select("qid", "place_id", F.round("distance", 1).alias("distance"), "rank")
+    return spatial.nearest(points(spark, sf_dir), p, 5).select("qid", "place_id", F.round("distance", 1).alias("distance"), "rank")
 
 
 @query(f"""with p as ({PLACES}), q as ({POINTS})
@@ -146,16 +146,16 @@ def layer_filtered(spark, sf_dir):
     return spatial.keep(places(spark, sf_dir), [0, 2]).groupBy("layer_id", "osm_key").agg(F.count("*").alias("n"))
 
 
-@query(f"""with p as ({PLACES}), r as (select o_orderkey as qid, o_custkey % 7 as pos, 'N' as kind, o_custkey as number from {{orders}} where o_orderkey % 5 = 0),
+@query(f"""with p as ({PLACES}), r as (select o_orderkey as qid, o_custkey % 7 as pos, 'N' as kind, o_custkey as number from {{orders}}),
 h as (select r.qid, r.pos, min(p.place_id) as place_id from r join p on p.osm_type = r.kind and p.osm_id = r.number group by r.qid, r.pos) select qid, pos, place_id, row_number() over (partition by qid order by pos) as rank from h""")
 def lookup_ids(spark, sf_dir):
-    refs = fixture(spark, sf_dir, "select o_orderkey as qid, o_custkey % 7 as pos, 'N' as kind, o_custkey as number from {orders} where o_orderkey % 5 = 0")
+    refs = fixture(spark, sf_dir, "select o_orderkey as qid, o_custkey % 7 as pos, 'N' as kind, o_custkey as number from {orders}")
     p = places(spark, sf_dir).withColumn("merged_ids", F.expr("cast(array() as array<bigint>)")).withColumn("nominatim_id", F.lit(None).cast("long"))
     return spatial.lookup(refs, p)
 
 
 #: A line for each order of two items or more: its items in order of line number, at places of their parts.
-LINES = f"select l_orderkey as line_id, l_linenumber as pos, {_lon('l_partkey', 11)} / 100 as lon, {_lat('l_partkey', 13)} / 100 as lat from {{lineitem}} where l_orderkey % 4 = 0"
+LINES = f"select l_orderkey as line_id, l_linenumber as pos, {_lon('l_partkey', 11)} / 100 as lon, {_lat('l_partkey', 13)} / 100 as lat from {{lineitem}}"
 
 
 def lines(spark, sf_dir) -> DataFrame:
@@ -197,6 +197,49 @@ def inclusive_containment(spark, sf_dir):
     return address.covering(places(spark, sf_dir).select("place_id", "lon", "lat"), a).groupBy("area_id").agg(F.count("*").alias("n"))
 
 
+#: Roads: an order's items in order of line number, a few kilometres from one to the next, some of one point alone.
+ROADS = f"select l_orderkey as place_id, l_linenumber as pos, {_lon('l_orderkey', 37)} / 100 + cast(l_partkey % 97 as double) / 2e3 as lon, {_lat('l_orderkey', 41)} / 100 + cast(l_suppkey % 89 as double) / 2e3 as lat from {{lineitem}}"
+_ROAD_SQL = f"""r as ({ROADS}), v as (select place_id, lon, lat, lead(lon) over w as lon2, lead(lat) over w as lat2, count(*) over (partition by place_id) as n, row_number() over w as k from r window w as (partition by place_id order by pos, lon, lat)), q as ({POINTS}), p as (select qid, lon / 100 as x, lat / 100 as y from q)"""
+
+
+def roads(spark, sf_dir) -> DataFrame:
+    g = fixture(spark, sf_dir, ROADS).groupBy("place_id").agg(F.array_sort(F.collect_list(F.struct("pos", "lon", "lat"))).alias("p"))
+    return g.select("place_id", F.col("p")[0]["lon"].alias("lon"), F.col("p")[0]["lat"].alias("lat"), F.array(F.transform("p", lambda x: F.struct(x["lon"], x["lat"]))).alias("lines"))
+
+
+@query(f"""with {_ROAD_SQL}, e as (select qid, place_id, n, (lon - x) * cos(radians(y)) * 6371008.8 * 0.017453292519943295e0 as ax, (lat - y) * 6371008.8 * 0.017453292519943295e0 as ay, (lon2 - x) * cos(radians(y)) * 6371008.8 * 0.017453292519943295e0 as bx, (lat2 - y) * 6371008.8 * 0.017453292519943295e0 as by_, {_hav('x', 'y', 'lon', 'lat')} as one from v, p where n = 1 or lon2 is not null),
+t as (select *, (bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay) as size from e), u as (select *, case when size > 0 then greatest(0e0, least(1e0, -(ax * (bx - ax) + ay * (by_ - ay)) / size)) else 0e0 end as t from t),
+d as (select qid, place_id, min(case when n = 1 then one else sqrt(pow(ax + t * (bx - ax), 2) + pow(ay + t * (by_ - ay), 2)) end) as d from u group by 1, 2) select qid, place_id, round(d, 1) as distance from d where d <= 600""")
+def roads_within(spark, sf_dir):
+    """Roads within 600 m of a point, by their segments: most are found far from any of their vertices."""
+    q = points(spark, sf_dir).select("qid", (F.col("lon") / 100).alias("lon"), (F.col("lat") / 100).alias("lat"), F.lit(600.0).alias("radius"))
+    return spatial.within(q, roads(spark, sf_dir)).select("qid", "place_id", F.round("distance", 1).alias("distance"))
+
+
+@query(f"""with {_ROAD_SQL}, b as (select place_id, min(lon) as x1, max(lon) as x2, min(lat) as y1, max(lat) as y2 from r group by 1) select qid, place_id from p, b where x - 2e-2 <= x2 and x1 <= x + 2e-2 and y - 1e-2 <= y2 and y1 <= y + 1e-2""")
+def roads_in_box(spark, sf_dir):
+    x, y = F.col("lon") / 100, F.col("lat") / 100
+    boxes = points(spark, sf_dir).select("qid", geo.bbox(x - 2e-2, y - 1e-2, x + 2e-2, y + 1e-2).alias("box"))
+    return spatial.in_box(boxes, roads(spark, sf_dir))
+
+
+#: A star of 96 corners around the middle of each nation's box.
+STARS = f"select area_id, cast(k as bigint) as k, x + 20e0 + (8e0 + cast((k * 7 + area_id) % 11 as double)) * cos(cast(k as double) * 6.283185307179586e0 / 96) as lon, y + 20e0 + (8e0 + cast((k * 7 + area_id) % 11 as double)) * sin(cast(k as double) * 6.283185307179586e0 / 96) as lat from ({BOXES}) b"
+
+
+@query(f"""with p as ({PLACES}), v as ({STARS}, range(96) r(k)), e as (select a.area_id, a.lon as ax, a.lat as ay, b.lon as bx, b.lat as by_ from v a join v b on a.area_id = b.area_id and b.k = (a.k + 1) % 96),
+h as (select p.place_id, e.area_id, count(*) filter ((ay > p.lat) != (by_ > p.lat) and p.lon < (bx - ax) * (p.lat - ay) / (by_ - ay) + ax) as n from p, e group by 1, 2) select area_id, count(*) as n, sum(place_id) as ids from h where n % 2 = 1 group by 1""")
+def stars_containing(spark, sf_dir):
+    """Places within stars: most cells of a star lie wholly inside or outside, and only those on its edge are tested corner by corner."""
+    b = fixture(spark, sf_dir, BOXES).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(95))))
+    r, t = 8.0 + ((F.col("k") * 7 + F.col("area_id")) % 11).cast("double"), F.col("k").cast("double") * 6.283185307179586 / 96
+    v = b.select("area_id", "k", (F.col("x") + 20 + r * F.cos(t)).alias("lon"), (F.col("y") + 20 + r * F.sin(t)).alias("lat"))
+    ring_ = v.groupBy("area_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "lon", "lat"))), lambda c: F.struct(c["lon"], c["lat"])).alias("ring"))
+    a = ring_.select((F.col("area_id") + 30_000_000).alias("place_id"), F.lit(8).alias("layer_id"), geo.box_of_points(F.col("ring")).alias("extent"), F.array(F.array("ring")).alias("polygons"))
+    asked = places(spark, sf_dir).select(F.col("place_id").alias("qid"), "lon", "lat")
+    return spatial.containing(asked, a).groupBy((F.col("place_id") - 30_000_000).alias("area_id")).agg(F.count("*").alias("n"), F.sum("qid").alias("ids"))
+
+
 _B2 = "select a.area_id as a, b.area_id as b, a.x as x1, a.y as y1, a.w as w1, b.x as x2, b.y as y2, b.w as w2"
 
 
@@ -224,11 +267,12 @@ def z_order(spark, sf_dir):
     return places(spark, sf_dir).select("place_id", geo.e7("lon").alias("lon_e7"), geo.morton("lon", "lat").alias("morton"))
 
 
-@query("""with t as (select doc_id, replace(strip_accents(unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))), 'ß', 'ss') as term from {documents} where lang = 'en'), f as (select doc_id, term from t where length(term) <= 40)
+@query("""with t as (select doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) as raw from {documents}),
+f as (select doc_id, replace(replace(replace(replace(translate(strip_accents(lower(raw)), 'øłđħı', 'oldhi'), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'), 'þ', 'th') as term from t where strlen(raw) <= 40)
 select term, count(*) as tf, count(distinct doc_id) as df from f group by term""")
 def term_statistics(spark, sf_dir):
-    """Terms of English documents, folded."""
-    d = fixture(spark, sf_dir, "select doc_id, text from {documents} where lang = 'en'")
+    """Terms of all documents, folded."""
+    d = fixture(spark, sf_dir, "select doc_id, text from {documents}")
     return d.select("doc_id", F.explode(text.tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("tf"), F.count_distinct("doc_id").alias("df"))
 
 
@@ -263,6 +307,15 @@ def typo_matches(spark, sf_dir):
     return textsearch.typo_terms(q, t).select("term", "like", "edits")
 
 
+@query(f"""with t as (select distinct unnest(regexp_extract_all(lower(p_name || ' ' || p_type || ' ' || p_brand), '[\\p{{L}}\\p{{N}}]+')) as term from part), q as (select distinct substr(term, 2, 1) || substr(term, 1, 1) || substr(term, 3, length(term) - 4) || substr(term, length(term), 1) || substr(term, length(term) - 1, 1) as wrong from t where length(term) >= 6)
+select q.wrong as term, t.term as "like", cast(damerau_levenshtein(q.wrong, t.term) as bigint) as edits from q, t where q.wrong != t.term and damerau_levenshtein(q.wrong, t.term) <= 2""")
+def typo_double_swaps(spark, sf_dir):
+    """Words with their first two and last two letters swapped."""
+    t = fixture(spark, sf_dir, "select concat(p_name, ' ', p_type, ' ', p_brand) as n from {part}").select(F.explode(text.tokens(F.col("n"))).alias("term")).distinct()
+    wrong = F.expr("concat(substr(term, 2, 1), substr(term, 1, 1), substr(term, 3, char_length(term) - 4), substr(term, char_length(term), 1), substr(term, char_length(term) - 1, 1))")
+    return textsearch.typo_terms(t.where("char_length(term) >= 6").select(wrong.alias("term"), F.lit(2).alias("d")).distinct(), t).select("term", "like", "edits")
+
+
 @query("""with t as (select distinct unnest(regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}]+')) as term from {part}), w as (select a.term || b.term as term, [a.term, b.term] as parts from t a, t b where length(a.term) >= 3 and length(b.term) >= 3 and a.term <= b.term)
 select term, array_to_string(parts, '+') as parts from w""")
 def compound_splits(spark, sf_dir):
@@ -390,10 +443,10 @@ def boundary_twins(spark, sf_dir):
     return address.twins(r, n)
 
 
-@query(f"""with n as (select p_partkey as node_id, {_lon('p_partkey', 11)} as lon from {{part}} where p_partkey % 9 > 0) select l_orderkey as way_id, count(*) as n_points, round(sum(lon * l_linenumber), 4) as checksum from {{lineitem}} join n on node_id = l_partkey where l_orderkey % 3 = 0 group by 1""")
+@query(f"""with n as (select p_partkey as node_id, {_lon('p_partkey', 11)} as lon from {{part}} where p_partkey % 9 > 0) select l_orderkey as way_id, count(*) as n_points, round(sum(lon * l_linenumber), 4) as checksum from {{lineitem}} join n on node_id = l_partkey group by 1""")
 def way_coordinates(spark, sf_dir):
     """Orders as ways over parts as nodes; missing nodes are skipped. The checksum weighs positions of the whole ref list."""
-    rows = fixture(spark, sf_dir, "select l_orderkey as way_id, l_linenumber as pos, l_partkey as node_id from {lineitem} where l_orderkey % 3 = 0")
+    rows = fixture(spark, sf_dir, "select l_orderkey as way_id, l_linenumber as pos, l_partkey as node_id from {lineitem}")
     nodes = fixture(spark, sf_dir, f"select p_partkey as node_id, {_lon('p_partkey', 11)} as lon, {_lat('p_partkey', 13)} as lat from {{part}} where p_partkey % 9 > 0")
     ways = rows.groupBy("way_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node_id"))), lambda x: x["node_id"]).alias("refs"), F.array_sort(F.collect_list("pos")).alias("numbers"))
     pts = ingest.way_points(ways.select("way_id", "refs"), nodes)
@@ -403,11 +456,11 @@ def way_coordinates(spark, sf_dir):
     return both.select("way_id", F.size("points").cast("long").alias("n_points"), F.round(check, 4).alias("checksum"))
 
 
-@query("""with h as (select l_orderkey as way_id, l_linenumber as pos, min(cast(l_quantity as bigint)) as number, min(l_returnflag) as street from {lineitem} where l_orderkey % 3 = 1 group by 1, 2), p as (select *, lead(number) over w as b, lead(street) over w as street2 from h window w as (partition by way_id order by pos)),
+@query("""with h as (select l_orderkey as way_id, l_linenumber as pos, min(cast(l_quantity as bigint)) as number, min(l_returnflag) as street from {lineitem} group by 1, 2), p as (select *, lead(number) over w as b, lead(street) over w as street2 from h window w as (partition by way_id order by pos)),
 g as (select way_id, street, least(number, b) as lo, greatest(number, b) as hi from p where b is not null and street = street2 and number != b), e as (select way_id, street, unnest(range(lo + 1, hi)) as number from g) select way_id, number, street, count(*) as n from e group by all""")
 def interpolated_numbers(spark, sf_dir):
     """House numbers between neighbouring numbered points of each order's line."""
-    rows = fixture(spark, sf_dir, f"select l_orderkey as way_id, l_linenumber as pos, l_orderkey * 100 + l_linenumber as node_id, cast(min(cast(l_quantity as bigint)) as string) as housenumber, min(l_returnflag) as street, {_lon('min(l_partkey)', 11)} as lon, {_lat('min(l_partkey)', 13)} as lat from {{lineitem}} where l_orderkey % 3 = 1 group by l_orderkey, l_linenumber")
+    rows = fixture(spark, sf_dir, f"select l_orderkey as way_id, l_linenumber as pos, l_orderkey * 100 + l_linenumber as node_id, cast(min(cast(l_quantity as bigint)) as string) as housenumber, min(l_returnflag) as street, {_lon('min(l_partkey)', 11)} as lon, {_lat('min(l_partkey)', 13)} as lat from {{lineitem}} group by l_orderkey, l_linenumber")
     way = rows.groupBy("way_id").agg(F.array_sort(F.collect_list(F.struct("pos", "node_id", "lon", "lat"))).alias("p"))
     way = way.select("way_id", F.lit("all").alias("kind"), F.transform("p", lambda x: x["node_id"]).alias("refs"), F.transform("p", lambda x: F.struct(x["lon"], x["lat"])).alias("points"))
     houses = rows.select("node_id", "housenumber", "street", F.lit(None).cast("string").alias("postcode"), F.lit(None).cast("string").alias("city"))
@@ -551,6 +604,15 @@ def assembled_rings(spark, sf_dir):
     return r.select("rel_id", F.size("rings").alias("rings"), "broken", F.coalesce(F.size(F.get("rings", F.lit(0))) - 1, F.lit(0)).alias("corners"))
 
 
+@query("""with l as (select l_orderkey as rel_id, l_linenumber as k, min(cast(l_quantity as bigint)) as q from {lineitem} group by 1, 2), p as (select rel_id, k, k - row_number() over (partition by rel_id order by k) as run from l where q % 3 > 0) select rel_id, cast(count(distinct run) as bigint) as broken from p group by 1""")
+def broken_chains(spark, sf_dir):
+    """An order's items as pieces of a path, in any order and direction, a third of them missing: each run of them is one open chain."""
+    l = fixture(spark, sf_dir, "select l_orderkey as rel_id, l_linenumber as k, min(cast(l_quantity as bigint)) as q, min(l_partkey) as at from {lineitem} group by 1, 2").where("q % 3 > 0")
+    k = F.col("k").cast("long")
+    m = l.select("rel_id", (F.col("at") * 10 + F.col("k")).alias("pos"), F.lit("outer").alias("part"), F.when(F.col("at") % 2 == 0, F.array(k * 10, k * 10 + 5, k * 10 + 10)).otherwise(F.array(k * 10 + 10, k * 10 + 5, k * 10)).alias("refs"))
+    return ingest.assemble_rings(m).select("rel_id", "broken")
+
+
 @query(f"with b as ({BOXES}) select area_id, true as inside from b")
 def interior_points(spark, sf_dir):
     a = areas(spark, sf_dir).withColumn("p", ingest.interior_point(F.col("polygons")[0]))

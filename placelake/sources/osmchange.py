@@ -2,34 +2,76 @@
 
 from __future__ import annotations
 
+import gzip
+import io
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
+from itertools import islice
+from xml.etree import ElementTree
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_TAG = "tag:array<struct<_k:string,_v:string>>"
-_NODE = f"array<struct<_id:bigint,_lon:double,_lat:double,{_TAG}>>"
-_WAY = f"array<struct<_id:bigint,nd:array<struct<_ref:bigint>>,{_TAG}>>"
-_REL = f"array<struct<_id:bigint,member:array<struct<_type:string,_ref:bigint,_role:string>>,{_TAG}>>"
 ELEMENT = "kind string, id long, lon_e7 long, lat_e7 long, refs array<long>, members array<struct<kind:string,id:long,role:string>>, tags map<string,string>"
-_COLUMNS = [c.strip().split(" ")[0] for c in ("kind", "id", "lon_e7", "lat_e7", "refs", "members", "tags")]
+_CHANGE = f"file string, at long, deleted boolean, {ELEMENT}"
+ACTIONS = {"create": False, "modify": False, "delete": True}
+KINDS = {"node": "N", "way": "W", "relation": "R"}
+#: Changes of a file handed on at once.
+ROWS = 20_000
+
+
+class ChangeError(ValueError):
+    """A change document that isn't one."""
+
+
+def parse_changes(content: bytes, name: str = "") -> Iterator[dict]:
+    """Elements of one OsmChange document (XML, gzipped or not) in document order: `at`, `deleted` and the columns of ELEMENT.
+
+    Elements stand within create, modify or delete; anything else there, or an element without a number, is an error.
+    """
+    raw = gzip.open(io.BytesIO(content)) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
+    e7 = lambda v: None if v is None else int((Decimal(v) * 10_000_000).to_integral_value(ROUND_HALF_UP))
+    path, at = [], 0
+    try:
+        for event, x in ElementTree.iterparse(raw, events=("start", "end")):
+            if event == "start":
+                path.append(x.tag)
+                if len(path) == 1 and x.tag != "osmChange" or len(path) == 2 and x.tag not in ACTIONS or len(path) == 3 and x.tag not in KINDS:
+                    raise ChangeError(f"{name}: {x.tag} at {'/'.join(path[:-1]) or 'the top'}")
+                continue
+            depth, action = len(path), path[1] if len(path) > 1 else None
+            path.pop()
+            if depth != 3:
+                if depth == 2:
+                    x.clear()
+                continue
+            members = [{"kind": (m.get("type") or "")[:1].upper(), "id": int(m.get("ref")), "role": m.get("role") or ""} for m in x.iter("member")]
+            yield {
+                "at": at, "deleted": ACTIONS[action], "kind": KINDS[x.tag], "id": int(x.attrib["id"]), "lon_e7": e7(x.get("lon")), "lat_e7": e7(x.get("lat")),
+                "refs": [int(n.get("ref")) for n in x.iter("nd")] if x.tag == "way" else None, "members": members if x.tag == "relation" else None, "tags": [(t.get("k"), t.get("v")) for t in x.iter("tag")],
+            }
+            at += 1
+            x.clear()
+    except (ElementTree.ParseError, KeyError, TypeError, ArithmeticError) as e:
+        raise ChangeError(f"{name}: {e}") from e
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    member = pa.list_(pa.struct([("kind", pa.string()), ("id", pa.int64()), ("role", pa.string())]))
+    schema = pa.schema([("file", pa.string()), ("at", pa.int64()), ("deleted", pa.bool_()), ("kind", pa.string()), ("id", pa.int64()), ("lon_e7", pa.int64()), ("lat_e7", pa.int64()), ("refs", pa.list_(pa.int64())), ("members", member), ("tags", pa.map_(pa.string(), pa.string()))])
+    for batch in batches:
+        for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            found = parse_changes(content.as_py(), name)
+            while some := list(islice(found, ROWS)):
+                yield pa.RecordBatch.from_pylist([{"file": name} | r for r in some], schema=schema)
 
 
 def read_changes(spark: SparkSession, path: str) -> DataFrame:
-    """Elements of OsmChange files with `seq` (file, then action in file order) and `deleted`. Each action is a row of the XML source."""
-    schema = f"node {_NODE.replace('array', 'array', 1)}, way {_WAY}, relation {_REL}"
-    parts = []
-    for k, action in enumerate(("create", "modify", "delete")):
-        rows = spark.read.format("xml").option("rowTag", action).schema(schema).load(path).select("*", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
-        parts.append(rows.withColumn("deleted", F.lit(action == "delete")).withColumn("step", F.lit(k)))
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    tag = lambda e: F.map_from_entries(F.transform(F.coalesce(e["tag"], F.expr("cast(array() as array<struct<_k:string,_v:string>>)")), lambda t: F.struct(t["_k"], t["_v"])))
-    null = lambda kind: F.expr(f"cast(null as {kind})")
-    members = "array<struct<kind:string,id:bigint,role:string>>"
-    seq = F.struct("file", "step", "at").alias("seq")
-    n = rows.select(seq, "deleted", F.explode("node").alias("e")).select("seq", "deleted", F.lit("N").alias("kind"), F.col("e._id").alias("id"), F.round(F.col("e._lon") * 1e7).cast("long").alias("lon_e7"), F.round(F.col("e._lat") * 1e7).cast("long").alias("lat_e7"), null("array<bigint>").alias("refs"), null(members).alias("members"), tag(F.col("e")).alias("tags"))
-    w = rows.select(seq, "deleted", F.explode("way").alias("e")).select("seq", "deleted", F.lit("W").alias("kind"), F.col("e._id").alias("id"), null("bigint").alias("lon_e7"), null("bigint").alias("lat_e7"), F.transform("e.nd", lambda x: x["_ref"]).alias("refs"), null(members).alias("members"), tag(F.col("e")).alias("tags"))
-    r = rows.select(seq, "deleted", F.explode("relation").alias("e")).select("seq", "deleted", F.lit("R").alias("kind"), F.col("e._id").alias("id"), null("bigint").alias("lon_e7"), null("bigint").alias("lat_e7"), null("array<bigint>").alias("refs"), F.transform("e.member", lambda m: F.struct(F.upper(F.substring(m["_type"], 1, 1)).alias("kind"), m["_ref"].alias("id"), m["_role"].alias("role"))).alias("members"), tag(F.col("e")).alias("tags"))
-    return n.unionByName(w).unionByName(r)
+    """Elements of OsmChange files with `seq` (file, then place in the document) and `deleted`; a file is read whole by one task, in order, and files in order of name."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    rows = files.mapInArrow(_parsed, _CHANGE)
+    return rows.select(F.struct("file", "at").alias("seq"), "deleted", "kind", "id", "lon_e7", "lat_e7", "refs", "members", "tags")
 
 
 def net_changes(changes: DataFrame) -> DataFrame:
@@ -69,10 +111,6 @@ def differences(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.select(F.lit("left").alias("side"), "kind", "id").unionByName(right.select(F.lit("right").alias("side"), "kind", "id"))
 
 
-def latest(changes: DataFrame, keys: list[str], seq: str) -> DataFrame:
-    return changes.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(seq)))).where("_n = 1").drop("_n")
-
-
 def parse_state(text: str) -> tuple[int | None, str | None]:
     """Sequence number and time of a replication state file."""
     found = dict(line.split("=", 1) for line in text.splitlines() if "=" in line and not line.startswith("#"))

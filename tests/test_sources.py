@@ -1,3 +1,4 @@
+import gzip
 import json
 
 import pytest
@@ -6,17 +7,32 @@ from pyspark.sql import functions as F
 from placelake.sources import dump, osmchange, outputs, pbf, registry
 from placelake.streaming import changes
 
-XML = """<osmChange version="0.6"><delete><node id="1" lat="0" lon="0"/><way id="7"/></delete>
-<modify><node id="2" lat="1.5" lon="2.25"><tag k="name" v="A"/></node><way id="8"><nd ref="1"/><nd ref="2"/><tag k="highway" v="path"/></way></modify>
-<create><relation id="9"><member type="way" ref="8" role="outer"/><tag k="type" v="multipolygon"/></relation></create></osmChange>"""
-
-
-def test_osm_change(spark, tmp_path):
-    (tmp_path / "a.osc").write_text(XML)
-    got = {(r.kind, r.id): r for r in osmchange.read_changes(spark, str(tmp_path / "a.osc")).collect()}
-    assert len(got) == 5 and got["N", 1].deleted and got["W", 7].deleted
-    assert (got["N", 2].lon_e7, got["N", 2].lat_e7, got["N", 2].tags) == (22500000, 15000000, {"name": "A"})
-    assert got["W", 8].refs == [1, 2] and [tuple(m) for m in got["R", 9].members] == [("W", 8, "outer")]
+XML = """<?xml version="1.0"?><osmChange version="0.6" generator="x">
+<create><node id="31" lat="-3.25" lon="170.5000001"><tag k="place" v="hamlet"/><tag k="name" v="Ü &amp; b"/></node></create>
+<delete><node id="40"/><way id="50"/></delete>
+<create><node id="40" lat="1" lon="2"/></create>
+<modify><way id="51"><nd ref="31"/><nd ref="40"/><nd ref="31"/></way><node id="31" lat="4" lon="5"/></modify>
+<delete><node id="31"/></delete>
+<modify><relation id="60"><member type="node" ref="40" role="label"/><member type="way" ref="51" role=""/></relation></modify></osmChange>"""
+
+
+def test_changes_in_document_order(spark, tmp_path):
+    (tmp_path / "1.osc").write_text(XML)
+    (tmp_path / "2.osc.gz").write_bytes(gzip.compress(b'<osmChange><delete><way id="51"/></delete><modify><way id="50"><nd ref="9"/></way></modify></osmChange>'))
+    all_ = osmchange.read_changes(spark, str(tmp_path))
+    assert [(r.kind, r.id, r.deleted) for r in all_.where("seq.file like '%1.osc'").orderBy("seq").collect()] == [
+        ("N", 31, False), ("N", 40, True), ("W", 50, True), ("N", 40, False), ("W", 51, False), ("N", 31, False), ("N", 31, True), ("R", 60, False)]
+    got = {(r.kind, r.id): r for r in osmchange.net_changes(all_).collect()}
+    assert {k: r.deleted for k, r in got.items()} == {("N", 31): True, ("N", 40): False, ("W", 50): False, ("W", 51): True, ("R", 60): False}
+    first = all_.where("kind = 'N' and id = 31").orderBy("seq").first()
+    assert (first.lon_e7, first.lat_e7, first.tags) == (1705000001, -32500000, {"place": "hamlet", "name": "Ü & b"})
+    assert all_.where("kind = 'W' and id = 51 and not deleted").first().refs == [31, 40, 31] and [tuple(m) for m in got["R", 60].members] == [("N", 40, "label"), ("W", 51, "")]
+
+
+@pytest.mark.parametrize("text", ['<osmChange><node id="1"/></osmChange>', "<osm/>", "<osmChange><create><area id='1'/></create></osmChange>", "<osmChange><create><node lat='1'/></create></osmChange>", "<osmChange>"])
+def test_change_documents_that_are_wrong(text):
+    with pytest.raises(osmchange.ChangeError):
+        list(osmchange.parse_changes(text.encode(), "x"))
 
 
 def test_merge(spark):
