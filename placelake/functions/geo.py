@@ -227,8 +227,9 @@ def point_along(line: Column, along: Column, metres) -> Column:
 
 
 def line_midpoint(line: Column) -> Column:
-    along = cumulative(line)
-    return F.when(F.size(line) == 1, F.get(line, 0)).when(F.size(line) > 1, point_along(line, along, F.element_at(along, -1) / 2))
+    # bound as lambda variables: an expression is worked out again wherever it stands
+    middle = F.get(F.transform(F.array(F.struct(line.alias("line"), cumulative(line).alias("along"))), lambda x: point_along(x["line"], x["along"], F.element_at(x["along"], -1) / 2)), 0)
+    return F.when(F.size(line) == 1, F.get(line, 0)).when(F.size(line) > 1, middle)
 
 
 def is_closed(refs: Column) -> Column:

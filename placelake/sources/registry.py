@@ -122,13 +122,13 @@ def bump_generation(folder: str) -> str:
     return new
 
 
-def write_partitions(places: DataFrame, folder: str, source: str, files: int = 1) -> DataFrame:
+def write_partitions(places: DataFrame, folder: str, source: str) -> DataFrame:
     """Places by country, along the Z-order curve, each country's folder swapped in whole; returns their metadata.
 
     Rows go to files by (country, curve), so that a file covers a small box and row groups can be skipped.
     """
     tmp = f"{folder}/.new-{uuid.uuid4().hex}"
-    rows = places.withColumn("country", F.lower("country_code")).withColumn("morton", geo.morton("lon", "lat"))
+    rows = places.withColumn("country", F.lower("country_code")).withColumn("morton", geo.morton("lon", "lat")).persist()
     rows.repartitionByRange("country", "morton", "osm_type", "osm_id").sortWithinPartitions("country", "morton", "osm_type", "osm_id").write.partitionBy("country").parquet(tmp)
     done = []
     for new in sorted(Path(tmp).glob("country=*")):
@@ -144,10 +144,16 @@ def write_partitions(places: DataFrame, folder: str, source: str, files: int = 1
         done.append(code)
     shutil.rmtree(tmp)
     meta = partition_meta(rows.withColumn("partition", F.col("country"))).withColumn("source", F.lit(source)).withColumn("format", F.lit(FORMAT))
-    for r in meta.collect():  # a row for each country
+    found = meta.collect()  # a row for each country
+    for r in found:
         Path(folder, "places", r.partition, "_meta.json").write_text(json.dumps(r.asDict(recursive=True)))
+    rows.unpersist()
     bump_generation(folder)
-    return meta
+    return places.sparkSession.createDataFrame(found, meta.schema)
+
+
+def drop_partition(folder: str, code: str) -> None:
+    shutil.rmtree(Path(folder, "places", code), ignore_errors=True)
 
 
 def partition_meta(places: DataFrame) -> DataFrame:
@@ -170,6 +176,9 @@ def read_partitions(spark: SparkSession, folder: str, countries: list[str] | Non
         if there[c]["format"] != FORMAT:
             raise ValueError(f"partition {c} has format {there[c]['format']}, not {FORMAT}")
     rows = spark.read.option("pathGlobFilter", "*.parquet").parquet(*(str(Path(folder, "places", c)) for c in wanted))
+    met = {r.c: r.n for r in rows.groupBy(F.lower("country_code").alias("c")).agg(F.count("*").alias("n")).collect()}  # a row for each country
+    if wrong := [c for c in wanted if met.get(c, 0) != there[c]["num_places"]]:
+        raise ValueError(f"partitions whose count differs from their metadata: {', '.join(wrong)}")
     return rows
 
 
