@@ -72,6 +72,29 @@ def plain_words(words: pa.Array) -> pa.Array:
     return pc.replace_substring_regex(pc.utf8_lower(words), f"{OTHER}+", "")
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers (unsigned) spread over all bits."""
+    x = (x ^ x >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ x >> np.uint64(29)
+
+
+def hashed_words(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word, by column: bytes as mixed numbers, times powers by their place, added up."""
+    words = words.cast(pa.large_string())
+    _, offsets, data = words.buffers()
+    offsets = np.frombuffer(offsets, dtype=np.int64)[words.offset : words.offset + len(words) + 1]
+    sizes = np.diff(offsets)
+    full = np.flatnonzero(sizes)
+    out = mixed(sizes.astype(np.uint64) + np.uint64(1))
+    if len(full):
+        raw = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]]
+        starts = offsets[:-1] - offsets[0]
+        powers = np.multiply.accumulate(np.full(int(sizes.max()), 0x9E3779B97F4A7C15, dtype=np.uint64))
+        values = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))[raw] * powers[np.arange(len(raw)) - np.repeat(starts, sizes)]
+        out[full] = mixed(out[full] + np.add.reduceat(values, starts[full]))
+    return out
+
+
 def flat_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     """As coded_words, the distinct words as a list."""
     codes, words, offsets = coded_words(texts)

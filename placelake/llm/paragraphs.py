@@ -16,13 +16,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from placelake.llm.common import OTHER, apart, checkpoint, coded_words, plain_words, text_slices
+from placelake.llm.common import OTHER, apart, checkpoint, coded_words, hashed_words, mixed, plain_words, text_slices
 from placelake.llm.components import components
 
 SHINGLE, LEAST_SENTENCE = 5, 8
@@ -45,11 +44,6 @@ def tune_bands(similarity: float, recall: float, apart: float = 0.3, at_most: fl
         rows += 1
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ x >> np.uint64(29)
-
-
 def _each(flags: pa.Array) -> np.ndarray:
     return flags.to_numpy(zero_copy_only=False).astype(bool)
 
@@ -63,7 +57,7 @@ class Cut:
         plain = plain_words(words)
         full = _each(pc.greater(pc.binary_length(plain), 0))[codes]
         ends = _each(pc.match_substring_regex(words, f"^{NEWLINE}$|[.!?。]{OTHER}*$"))[codes]
-        hashes = pd.util.hash_array(plain.to_numpy(zero_copy_only=False), categorize=False)[codes][full] if len(words) else np.zeros(0, np.uint64)
+        hashes = hashed_words(plain)[codes][full] if len(words) else np.zeros(0, np.uint64)
         before = np.concatenate([[0], np.cumsum(full)])
         starts = before[offsets]
         n = len(hashes)
@@ -91,17 +85,17 @@ class Cut:
         rolled = np.zeros(n, dtype=np.uint64)
         padded = np.concatenate([hashes, np.zeros(SHINGLE, np.uint64)])
         for k in range(SHINGLE):
-            rolled = _mix(rolled + padded[k : k + n])
+            rolled = mixed(rolled + padded[k : k + n])
         index = np.repeat(begin - self.first, count) + np.arange(count.sum())
         self.shingle = rolled[index]
         for k in np.flatnonzero(short):  # all words of a paragraph too short for a shingle
             x = np.zeros(1, np.uint64)
             for h in hashes[begin[k] : stop[k]]:
-                x = _mix(x + h + np.uint64(1))
+                x = mixed(x + h + np.uint64(1))
             self.shingle[self.first[k]] = x[0]
         place = np.arange(len(self.shingle)) - np.repeat(self.first, count)
-        spread = _mix(self.shingle + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        self.content = _mix(np.add.reduceat(spread, self.first) + self.size.astype(np.uint64))
+        spread = mixed(self.shingle + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        self.content = mixed(np.add.reduceat(spread, self.first) + self.size.astype(np.uint64))
 
 
 def _slide(x: np.ndarray, f: np.ufunc, back: bool = False) -> np.ndarray:
@@ -125,13 +119,13 @@ def blocks(cut: Cut) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     h, starts = cut.hashes, cut.starts
     if len(h) < BLOCK:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    wide, x = 1, _mix(h + np.uint64(7))
+    wide, x = 1, mixed(h + np.uint64(7))
     four = x
     while wide < 16:
-        x = _mix(x[:-wide] * np.uint64(0x9E3779B97F4A7C15) + x[wide:])
+        x = mixed(x[:-wide] * np.uint64(0x9E3779B97F4A7C15) + x[wide:])
         wide *= 2
         four = x if wide == 4 else four
-    x = _mix(x[: len(h) - BLOCK + 1] * np.uint64(0x9E3779B97F4A7C15) + four[16 : 16 + len(h) - BLOCK + 1])
+    x = mixed(x[: len(h) - BLOCK + 1] * np.uint64(0x9E3779B97F4A7C15) + four[16 : 16 + len(h) - BLOCK + 1])
     for b in starts[1:-1]:  # those that reach over the end of a text
         x[max(0, b - BLOCK + 1) : b] = ~np.uint64(0)
     at = np.flatnonzero((_slide(_slide(x, np.minimum), np.maximum, back=True) == x) & (x != ~np.uint64(0)))
@@ -180,11 +174,11 @@ def _around(wanted: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator
             same = doc[1:] == doc[:-1]
             low[1:] = np.where(same, np.clip(at[:-1] + BLOCK, low[1:], at[1:]), low[1:])
             high[:-1] = np.where(same, np.clip(at[1:], at[:-1] + BLOCK, high[:-1]), high[:-1])
-            h = cut.hashes.view(np.int64)
+            h = (cut.hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)  # half of each is enough to compare neighbours by
             of = pa.array(doc)
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id").take(of), batch.column("row_id").take(of), pa.array(at - start), pa.array(content.view(np.int64)),
-                pa.array([h[a:b][::-1] for a, b in zip(low, at, strict=True)], pa.list_(pa.int64())), pa.array([h[a:b] for a, b in zip(at + BLOCK, high, strict=True)], pa.list_(pa.int64())),
+                pa.array([h[a:b][::-1] for a, b in zip(low, at, strict=True)], pa.list_(pa.int32())), pa.array([h[a:b] for a, b in zip(at + BLOCK, high, strict=True)], pa.list_(pa.int32())),
             ], names=["doc_id", "row_id", "place", "content", "before", "after"])
 
     return run
@@ -196,8 +190,8 @@ def band_keys(cut: Cut, bands: int, rows: int) -> np.ndarray:
     for band in range(bands):
         key = np.full(len(cut.first), band + 1, dtype=np.uint64)
         for row in range(rows):
-            seed = _mix(np.array([band * rows + row + 1], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            key = _mix(key ^ np.minimum.reduceat(_mix(cut.shingle ^ seed), cut.first))
+            seed = mixed(np.array([band * rows + row + 1], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            key = mixed(key ^ np.minimum.reduceat(mixed(cut.shingle ^ seed), cut.first))
         out.append(key)
     return np.array(out)
 
@@ -402,7 +396,7 @@ def repeated_blocks(docs: DataFrame) -> DataFrame:
     held = rows.withColumn("at", F.monotonically_increasing_id()).mapInArrow(_picked, "content long, low long, high long").groupBy("content").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     wanted = checkpoint(held.where("low != high").select(F.col("content").alias("c")))
     around = _around(_filter_bits(wanted.withColumnRenamed("c", "content")))
-    found = rows.mapInArrow(around, "doc_id long, row_id long, place long, content long, before array<long>, after array<long>")
+    found = rows.mapInArrow(around, "doc_id long, row_id long, place long, content long, before array<int>, after array<int>")
     found = checkpoint(_numbered(found.join(wanted, found["content"] == wanted["c"], "left_semi")))
     first = found.groupBy("content").agg(F.min(F.struct(*PLACE, "before", "after")).alias("first")).select(apart(F.col("content")).alias("of"), "first")
 
