@@ -18,10 +18,13 @@ OTHER = r"[^\p{L}\p{N}_]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder shared by driver and executors: spark.checkpoint.dir, or, on a local master alone, a temporary one where that is unset."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="placelake-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="placelake-"))
     return sc.getCheckpointDir()
 
 
