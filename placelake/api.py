@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from placelake.functions import geo, tags, text
 from placelake.functions.rank import Ranking
-from placelake.operators import spatial
+from placelake.operators import address, spatial
 from placelake.operators.textsearch import Rules, TextIndex
 from placelake.schema import LAYER_ID, LOCALITY
+from placelake.sources import outputs
 
 #: Policy of requests from outside.
 MAX_LIMIT, MAX_RADIUS, REVERSE_RADIUS = 50, 500_000.0, 1000.0
@@ -124,12 +125,31 @@ class Engine:
             inside = there.select("qid", "place_id", (geo.haversine(F.lit(s.lon), F.lit(s.lat), "lon", "lat") if s.lon is not None else F.lit(None).cast("double")).alias("distance"))
         return spatial.spatial_only(inside, fitting, s.limit, s.lon is not None, self.ranking)
 
-    def reverse(self, requests: DataFrame, radius: float = REVERSE_RADIUS, limit: int = 1, layers=()) -> DataFrame:
-        return spatial.reverse(requests, self.places, radius, limit, _layers(layers) or spatial.REVERSE_LAYERS)
-
-    def nearest(self, requests: DataFrame, limit: int = 5, radius: float | None = None, layers=(), osm_tag=()) -> DataFrame:
+    def _fitting(self, layers, countries, osm_tag) -> DataFrame:
+        self._loaded(list(countries))
         tag = tags.tag_filter(list(osm_tag), F.col("osm_key"), F.col("osm_value")) if osm_tag else None
-        return spatial.nearest(requests, spatial.keep(self.places, _layers(layers), tag=tag), limit, most=radius)
+        return spatial.keep(self.places, layers, list(countries), tag)
+
+    def reverse(self, requests: DataFrame, radius: float = REVERSE_RADIUS, limit: int = 1, layers=(), countries=(), osm_tag=()) -> DataFrame:
+        """The nearest places of address layers, or of those given, within `radius` of each request (qid, lon, lat)."""
+        _check(0.0, 0.0, radius, limit)
+        return spatial.reverse(requests, self._fitting((), countries, osm_tag), radius, limit, _layers(layers) or spatial.REVERSE_LAYERS)
+
+    def nearest(self, requests: DataFrame, limit: int = 5, radius: float | None = None, layers=(), countries=(), osm_tag=()) -> DataFrame:
+        """The nearest places of each request (qid, lon, lat)."""
+        _check(0.0, 0.0, radius, limit)
+        return spatial.nearest(requests, self._fitting(_layers(layers), countries, osm_tag), limit, most=radius)
+
+    def present(self, hits: DataFrame, lang: str | None = None, geometry: bool = False, units: DataFrame | None = None) -> DataFrame:
+        """qid, collection: GeoJSON for hits (qid, place_id, rank and scores), with names in `lang` where a place has them, full geometry where
+        asked for, and the names of parents where the admin units (ADMIN_UNIT) are given."""
+        extra = [c for c in hits.columns if c in ("distance", "score")]
+        rows = hits.select("qid", "place_id", "rank", *extra).join(self.places, "place_id")
+        if lang:
+            rows = rows.withColumn("name", text.localized(F.col("names"), F.col("name"), F.lit(lang)))
+        if units is not None:
+            rows = rows.drop("city").join(address.address(self.places, units, lang), "place_id", "left")
+        return outputs.collections(outputs.features(rows, geometry))
 
     def lookup(self, refs: list[str]) -> DataFrame:
         rows = self.spark.createDataFrame([(0, k, r) for k, r in enumerate(refs)], "qid int, pos int, ref string").withColumn("r", text.place_ref(F.col("ref")))
@@ -137,11 +157,12 @@ class Engine:
             raise InvalidRequest(f"not a reference: {bad.ref}")
         return spatial.lookup(rows.select("qid", "pos", "r.kind", "r.number"), self.places)
 
-    def contains(self, requests: DataFrame, layers=()) -> DataFrame:
+    def contains(self, requests: DataFrame, layers=(), countries=(), osm_tag=()) -> DataFrame:
+        """Areas that hold each request (qid, lon, lat), most specific first."""
         ids = _layers(layers)
         if any(k < LOCALITY for k in ids):
             raise InvalidRequest("only layers from locality up contain")
-        return spatial.containing(requests, self.places, ids)
+        return spatial.containing(requests, self._fitting((), countries, osm_tag), ids)
 
     def status(self) -> DataFrame:
         from placelake.sources.registry import partition_meta

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -31,6 +32,12 @@ def tokens(text: Column) -> Column:
     return F.transform(F.filter(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{N}]+"), 0), lambda t: F.octet_length(t) <= LONGEST), fold)
 
 
+def plain_tokens(text: str) -> list[str]:
+    """The same for a string on the driver, such as a rule's."""
+    table = {ord(k): v for k, v in (_FOLD | _TWO).items()}
+    return [t.lower().translate(table) for t in re.findall(r"[^\W_]+", text) if len(t.encode()) <= LONGEST]
+
+
 def transliterate(text: Column) -> Column:
     """Cyrillic and Greek letters in Latin ones, quotes dropped; null where nothing changes."""
     out = F.lower(text)

@@ -8,7 +8,9 @@ over the requests that the ones before left without a hit.
 
 from __future__ import annotations
 
+import tomllib
 from dataclasses import dataclass, field
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -37,6 +39,36 @@ class Rules:
     words: list[tuple[str | None, str, list[str]]] = field(default_factory=list)
     suffixes: list[tuple[str | None, str, list[str]]] = field(default_factory=list)
 
+    @classmethod
+    def load(cls, folder: str | None = None, inline: dict | None = None, languages: list[str] | None = None, everywhere: bool = False) -> Rules:
+        """Rules of a folder's TOML files, one for each language by its name, and inline ones.
+
+        A file has `countries` (codes; all where it is left out) and the tables `words` and `suffixes`, each from a word to its
+        alternatives. `languages` picks files; `everywhere` passes their countries over. Unknown tables, keys or suffix
+        alternatives of several words, and alternatives that aren't lists of text are errors.
+        """
+        found = cls()
+        files = sorted(Path(folder).glob("*.toml")) if folder else []
+        for path in files:
+            if languages is None or path.stem in languages:
+                found._take(tomllib.loads(path.read_text()), path.name, everywhere)
+        if inline:
+            found._take(inline, "inline rules", True)
+        return found
+
+    def _take(self, rules: dict, name: str, everywhere: bool) -> None:
+        if unknown := set(rules) - {"countries", "words", "suffixes"}:
+            raise ValueError(f"{name}: unknown {', '.join(sorted(unknown))}")
+        countries = [None] if everywhere or "countries" not in rules else [c.lower() for c in rules["countries"]]
+        for table, into in (("words", self.words), ("suffixes", self.suffixes)):
+            for key, values in rules.get(table, {}).items():
+                if not isinstance(values, list) or not all(isinstance(v, str) for v in values):
+                    raise ValueError(f"{name}: {table}.{key} isn't a list of text")
+                word, others = text.plain_tokens(key), [text.plain_tokens(v) for v in values]
+                if len(word) != 1 or not all(others) or table == "suffixes" and any(len(v) != 1 for v in others):
+                    raise ValueError(f"{name}: {table}.{key} must be a single word, and so must what a suffix stands for")
+                into.extend((cc, word[0], [" ".join(v) for v in others]) for cc in countries)
+
     def expand(self, spark: SparkSession, words: DataFrame, countries: list[str] | None = None) -> DataFrame:
         """(term, alt) for distinct words (column term); alt is a word or a phrase. Of suffix rules the longest that fits applies, after two letters at least."""
         use = lambda cc: cc is None or countries is None or cc in countries

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from placelake.operators.ingest import cut_lineage
 from placelake.schema import LAYERS
 
 #: Upper bounds of latency buckets, in seconds.
@@ -49,8 +49,22 @@ def collections(features_: DataFrame) -> DataFrame:
 
 
 def every_nth(places: DataFrame, n: int, *order: str) -> DataFrame:
-    """Every n-th place in an order, from the first, by partition (column country_code)."""
-    return places.withColumn("_n", F.row_number().over(W.partitionBy("country_code").orderBy(*order))).where((F.col("_n") - 1) % n == 0).drop("_n")
+    """Every n-th place in an order, from the first, by partition (column country_code).
+
+    Rows are sorted by range, over all tasks; a row's number is its place in its task plus what the tasks before hold of its
+    country. The driver sees a count for each country and task that meet.
+    """
+    rows = cut_lineage(places.repartitionByRange("country_code", *order).sortWithinPartitions("country_code", *order).withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    met = rows.groupBy("country_code", part.alias("_part")).agg(F.count("*").alias("n"), F.min("_id").alias("_low")).orderBy("_low").collect()
+    before, table = {}, []
+    for m in met:
+        table.append((m.country_code, m._part, m._low, before.get(m.country_code, 0)))
+        before[m.country_code] = before.get(m.country_code, 0) + m.n
+    kind = rows.schema["country_code"].dataType.simpleString()
+    offsets = F.broadcast(places.sparkSession.createDataFrame(table, f"_c {kind}, _p long, _low long, _before long"))  # countries and tasks bound it
+    numbered = rows.join(offsets, F.col("country_code").eqNullSafe(F.col("_c")) & (part == F.col("_p")))
+    return numbered.where((F.col("_id") - F.col("_low") + F.col("_before")) % n == 0).select(*places.columns)
 
 
 def latency_histogram(requests: DataFrame) -> DataFrame:
