@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,27 +72,37 @@ def e7(degrees) -> Column:
     return F.round(_c(degrees) * 1e7).cast("long")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is worked out, and written into the plan, once, wherever `use` has it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def ring_side(lon, lat, ring: Column) -> Column:
     """1 inside, 0 on the edge, -1 outside a closed ring, exactly, on ten-millionths of a degree (products in DECIMAL, as they pass 64 bits)."""
-    x, y = e7(lon).cast("decimal(19,0)"), e7(lat).cast("decimal(19,0)")
-    big = lambda p, f: e7(p[f]).cast("decimal(19,0)")
+    whole = lambda v: e7(v).cast("decimal(19,0)")
+    corner = lambda p: F.struct(whole(p["lon"]).alias("x"), whole(p["lat"]).alias("y"))
 
-    def edge(a: Column, b: Column) -> Column:
-        ax, ay, bx, by = big(a, "lon"), big(a, "lat"), big(b, "lon"), big(b, "lat")
-        cross = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
-        on = (cross == 0) & (F.least(ax, bx) <= x) & (x <= F.greatest(ax, bx)) & (F.least(ay, by) <= y) & (y <= F.greatest(ay, by))
-        up, down = (ay <= y) & (by > y) & (cross > 0), (ay > y) & (by <= y) & (cross < 0)
-        return F.struct(on.alias("on"), F.when(up, 1).when(down, -1).otherwise(0).alias("turn"))
+    def edge(a: Column, b: Column, at: Column) -> Column:
+        def sides(cross: Column) -> Column:
+            on = (cross == 0) & (F.least(a["x"], b["x"]) <= at["x"]) & (at["x"] <= F.greatest(a["x"], b["x"])) & (F.least(a["y"], b["y"]) <= at["y"]) & (at["y"] <= F.greatest(a["y"], b["y"]))
+            up, down = (a["y"] <= at["y"]) & (b["y"] > at["y"]) & (cross > 0), (a["y"] > at["y"]) & (b["y"] <= at["y"]) & (cross < 0)
+            return F.struct(on.alias("on"), F.when(up, 1).when(down, -1).otherwise(0).alias("turn"))
 
-    n = F.greatest(F.size(ring) - 1, F.lit(0))
-    edges = F.zip_with(F.slice(ring, 1, n), F.slice(ring, 2, n), edge)
-    turns = F.aggregate(edges, F.lit(0), lambda s, e: s + e["turn"])
-    return F.when(F.exists(edges, lambda e: e["on"]), 0).when(turns != 0, 1).otherwise(-1)
+        return let((b["x"] - a["x"]) * (at["y"] - a["y"]) - (b["y"] - a["y"]) * (at["x"] - a["x"]), sides)
+
+    def side(at: Column, points: Column) -> Column:
+        n = F.greatest(F.size(points) - 1, F.lit(0))
+        edges = F.zip_with(F.slice(points, 1, n), F.slice(points, 2, n), lambda a, b: edge(a, b, at))
+        return let(edges, lambda es: F.when(F.exists(es, lambda e: e["on"]), 0).when(F.aggregate(es, F.lit(0), lambda s, e: s + e["turn"]) != 0, 1).otherwise(-1))
+
+    both = F.struct(F.struct(whole(lon).alias("x"), whole(lat).alias("y")).alias("at"), F.transform(ring, corner).alias("points"))
+    return let(both, lambda v: side(v["at"], v["points"]))
 
 
 def polygon_covers(lon, lat, rings: Column) -> Column:
     """Inside or on the edge of a polygon; the inside of a hole isn't, its edge is."""
-    return (ring_side(lon, lat, F.get(rings, 0)) >= 0) & ~F.exists(F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(0))), lambda h: ring_side(lon, lat, h) > 0)
+    sides = F.transform(rings, lambda r: ring_side(lon, lat, r))
+    return let(sides, lambda s: (F.get(s, F.lit(0)) >= 0) & ~F.exists(F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))), lambda h: h > 0))
 
 
 def segment_hits_box(a: Column, b: Column, box: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placelake.functions import geo, rank, tags, text
-from placelake.operators import address, ingest, spatial, textindex, textsearch
+from placelake.operators import address, elements, ingest, spatial, textindex, textsearch
 from placelake.sources import osmchange, outputs, registry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -625,6 +625,21 @@ def simplified_lines(spark, sf_dir):
     return lines(spark, sf_dir).select("line_id", F.size("line").alias("before"), F.size(ingest.simplified("line", F.lit(0.2))).alias("after"))
 
 
+@query(f"""with t as ({_TAGGED}), n as (select *, b != 12 as named from t), p as (select case when named and a = 0 then 5 when named and a = 1 then 7 when named and a in (5, 6, 8) then 1 when named and b in (0, 1) then 1 when b >= 6 then 0 end as layer from n
+union all select 2 from (select distinct l_orderkey from {{lineitem}})) select ['house', 'poi', 'street', 'locality', 'district', 'city', 'county', 'state', 'country'][layer + 1] as layer, count(*) as n from p where layer is not null group by 1""")
+def imported_places(spark, sf_dir):
+    """The whole import over elements: customers as tagged nodes, orders as streets over the nodes of their parts; places by layer."""
+    none = {"refs": "array<bigint>", "members": "array<struct<kind:string,id:bigint,role:string>>"}
+    null = lambda *names: [F.lit(None).cast(none[n]).alias(n) for n in names]
+    at = lambda x, y: [F.round(F.expr(x) * 1e7).cast("long").alias("lon_e7"), F.round(F.expr(y) * 1e7).cast("long").alias("lat_e7")]
+    people = tagged(spark, sf_dir).select(F.lit("N").alias("kind"), "id", *at(_lon("id"), _lat("id")), *null("refs", "members"), "tags")
+    corners = fixture(spark, sf_dir, "select p_partkey as id from {part}").select(F.lit("N").alias("kind"), (F.col("id") + 1_000_000_000).alias("id"), *at(_lon("id", 11), _lat("id", 13)), *null("refs", "members"), F.expr("cast(map() as map<string,string>)").alias("tags"))
+    roads_ = fixture(spark, sf_dir, "select l_orderkey as id, l_linenumber as pos, l_partkey + 1000000000 as node from {lineitem}").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node"))), lambda x: x["node"]).alias("refs"))
+    roads_ = roads_.select(F.lit("W").alias("kind"), "id", F.lit(None).cast("long").alias("lon_e7"), F.lit(None).cast("long").alias("lat_e7"), "refs", *null("members"), F.create_map(F.lit("highway"), F.lit("residential"), F.lit("name"), F.concat(F.lit("Road "), F.col("id").cast("string"))).alias("tags"))
+    made = elements.make_places(people.unionByName(corners).unionByName(roads_), country="xx")
+    return elements.layer_counts(made.places)
+
+
 def text_search(spark, sf_dir):
     """Not registered: it takes minutes even on small tables. Part names as queries, whole, cut short and misspelt, near a point; phases, re-ranking and de-duplication."""
     p = spatial.keep(places(spark, sf_dir), [2]).withColumn("housenumber", F.lit(None).cast("string"))
