@@ -257,7 +257,10 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | Collecti
 
 
 def drop_unwanted(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | Collection[str], least: float = 0.5) -> DataFrame:
-    """The rows of `docs`, all columns, whose rate is `least` or more; a doc_id goes as a whole, rows without one stay."""
-    rated, _ = mix(docs, labels, weights)
-    gone = rated.where(F.col("rate") < least).select(F.col("doc_id").alias("gone_id")).distinct()
+    """The rows of `docs`, all columns, but those whose rate is under `least` and that rather belong to domains without a
+    target than to the others; a doc_id goes as a whole, rows without one stay."""
+    rated, names = mix(docs, labels, weights)
+    wanted = [i for i, d in enumerate(names) if (weights.get(d, 0.0) > 0 if isinstance(weights, dict) else d in weights)]
+    own = sum((F.col("p")[i] for i in wanted), F.lit(0.0))
+    gone = rated.where((F.col("rate") < least) & (own < 0.5)).select(F.col("doc_id").alias("gone_id")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
