@@ -13,6 +13,7 @@ extended word by word against the first of them. Passages are runs of clustered
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,14 +22,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from placelake.llm.common import OTHER, apart, checkpoint, coded_words, hashed_words, mixed, plain_words, text_slices
+from placelake.llm.common import OTHER, apart, checkpoint, coded_words, hashed_words, mixed, plain_words, shared_dir, text_slices
 from placelake.llm.components import components
+from placelake.llm.tokens import _move, _open, local_path
 
 SHINGLE, LEAST_SENTENCE = 5, 8
 #: Words of a block, and positions of which one is picked at least; together any 50 words hold a picked block.
 BLOCK, WINDOW = 20, 31
 #: Bits of the filter that a second scan is sieved with: least, for each content, and most. Joins after it are exact.
 FILTER_BITS, BITS_EACH, MOST_BITS = 1 << 24, 16, 1 << 29
+#: Pieces that a filter is written in.
+PIECES = 64
 NEWLINE = "\x1e"
 #: Bytes of text cut at once: some fifteen arrays of its words and shingles are held beside it.
 SLICE = 1 << 19
@@ -152,13 +156,14 @@ def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(content[new].view(np.int64)), pa.array(at[new]), pa.array(at[np.append(new[1:], True)])], names=["content", "low", "high"])
 
 
-def _held(bits: np.ndarray, content: np.ndarray) -> np.ndarray:
+def _held(wanted: Bits, content: np.ndarray) -> np.ndarray:
     """Whether a filter's bit is set for each content."""
+    bits = wanted.array()
     spot = (content & np.uint64(8 * len(bits) - 1)).astype(np.int64)
     return bits[spot >> 3] >> (spot & 7).astype(np.uint8) & 1
 
 
-def _around(wanted: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _around(wanted: Bits) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Blocks of wanted contents, with the hashes of the words before and after that no wanted block beside them holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +244,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out(*held)
 
 
-def _sieved(wanted: np.ndarray, compared: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _sieved(wanted: Bits, compared: Bits) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, most=SLICE):
             cut = Cut(batch.column("text"))
@@ -334,15 +339,65 @@ def _alike(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return run
 
 
-def _filter_bits(contents: DataFrame) -> np.ndarray:
-    """A bit set for each content. The driver gets MOST_BITS / 64 numbers at most; beyond that the filter lets more through."""
+def _pieces(folder: str, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Writes the pieces of a filter whose bits come (all of a piece in one task), a file each; gives their numbers."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        held, width = {}, bits // PIECES
+        for batch in batches:
+            spot = np.sort(batch.column("spot").to_numpy())
+            first = np.arange(PIECES + 1) * width
+            cuts = np.searchsorted(spot, first)
+            for k in np.flatnonzero(np.diff(cuts)).tolist():
+                at = spot[cuts[k] : cuts[k + 1]] - first[k]
+                np.bitwise_or.at(held.setdefault(k, np.zeros(width >> 3, np.uint8)), at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        for k, piece in held.items():
+            tried = f"{folder}/{k}.{TaskContext.get().taskAttemptId()}.tmp"
+            with _open(tried, "wb") as file:
+                file.write(piece.tobytes())
+            _move(tried, f"{folder}/{k}")  # a task that runs again writes the same bytes
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32())], names=["piece"])
+
+    return write
+
+
+class Bits:
+    """A filter's bits in a file of the shared folder, which workers map; where it can't be mapped, each task reads it."""
+
+    def __init__(self, uri: str):
+        self.uri, self.loaded = uri, None
+
+    def __reduce__(self):
+        return Bits, (self.uri,)
+
+    def array(self) -> np.ndarray:
+        if self.loaded is None:
+            if path := local_path(self.uri):
+                self.loaded = np.memmap(path, dtype=np.uint8, mode="r")
+            else:
+                with _open(self.uri, "rb") as file:
+                    self.loaded = np.frombuffer(file.read(), dtype=np.uint8)
+        return self.loaded
+
+
+def _filter_bits(contents: DataFrame) -> Bits:
+    """A bit set for each content. Executors write it by pieces, which the driver joins one by one; beyond MOST_BITS the filter lets more through."""
     n = max(FILTER_BITS, min(MOST_BITS, 1 << (BITS_EACH * contents.count()).bit_length()))
-    spot = F.col("content").bitwiseAND(F.lit(n - 1).cast("long"))
-    words = contents.select(spot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("b"))
-    got = words.toPandas()
-    full = np.zeros(n // 64, dtype=np.int64)
-    full[got["w"].to_numpy()] = got["b"].to_numpy()
-    return full.view(np.uint8)
+    folder = f"{shared_dir(contents.sparkSession)}/filter-{uuid.uuid4().hex}"
+    spots = contents.select(F.col("content").bitwiseAND(F.lit(n - 1).cast("long")).alias("spot"))
+    dealt = spots.repartition(F.expr(f"spot div {n // PIECES}"))
+    there = {r.piece for r in dealt.mapInArrow(_pieces(folder, n), "piece int").collect()}
+    with _open(f"{folder}/bits", "wb") as out:
+        for k in range(PIECES):
+            if k in there:
+                with _open(f"{folder}/{k}", "rb") as file:
+                    out.write(file.read())
+            else:
+                out.write(bytes(n // PIECES // 8))
+    return Bits(f"{folder}/bits")
 
 
 #: What orders the places of a cluster or block: rows without a doc_id come last.

@@ -1,5 +1,7 @@
 """Paragraph dedup against brute-force Jaccard, with equal rows and rows without an id."""
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 
@@ -72,3 +74,17 @@ def test_words_in_other_cases_and_marks_are_equal():
     cut = paragraphs.Cut(pa.array(["Straße, ÉCOLE! snake_case 42.", "straße école snake_case (42)", None, "", "…"]), words_only=True)
     n = np.diff(cut.starts)
     assert n.tolist() == [4, 4, 0, 0, 0] and (cut.hashes[:4] == cut.hashes[4:]).all()
+
+
+def test_filters_stay_out_of_the_driver(spark, monkeypatch):
+    def taken(*_):
+        raise AssertionError("the driver takes a table")
+
+    content = np.random.default_rng(5).integers(-(1 << 63), 1 << 63, 200_000)
+    rows = spark.createDataFrame(pa.table({"content": content}).slice(0, 100_000))
+    monkeypatch.setattr(type(rows), "toPandas", taken)
+    found = paragraphs._filter_bits(rows)
+    assert len(pickle.dumps(found)) < 10_000
+    held = paragraphs._held(pickle.loads(pickle.dumps(found)), content.view(np.uint64))
+    assert held[:100_000].all() and held[100_000:].mean() < 0.1
+    assert not paragraphs._held(paragraphs._filter_bits(rows.limit(0)), content.view(np.uint64)).any()
