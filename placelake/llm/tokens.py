@@ -20,15 +20,18 @@ from urllib.parse import urlparse
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placelake.llm.common import flat_words, shared_dir, text_slices
+from placelake.llm.common import coded_words, shared_dir, text_slices
 
 #: Words whose ids a worker remembers.
 REMEMBERED = 1_000_000
 #: Marks that are cut off the ends of words and encoded alone, where that changes nothing.
 MARKS = (".", ",")
+#: Words of letters that are encoded at once.
+JOINED = 100
 
 
 def _kept() -> types.ModuleType:
@@ -47,10 +50,23 @@ def _load(path: str, dtype: str) -> types.ModuleType:
         kept.ids = ids
         kept.cuts = all(ids(f"ab{m}") == ids("ab") + ids(m) for m in MARKS)
         kept.folds = ids("AbC") == ids("abc")
+        kept.closes = _closes(kept)
         kept.fold, kept.last = {}, {}  # of letters outside ASCII: whether lower case, and a cut after them, change nothing
     return kept
 
 
+def _closes(kept: types.ModuleType) -> np.ndarray | None:
+    """Which ids end a piece between white space; None where a vocabulary doesn't tell."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    suffix, vocabulary = getattr(kept.tokenizer.model, "end_of_word_suffix", None), kept.tokenizer.get_vocab()
+    if not suffix or kept.ids("ab cd") != kept.ids("ab") + kept.ids("cd") or any(c + suffix not in vocabulary for c in ByteLevel.alphabet()):
+        return None
+    out = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+    out[[k for w, k in vocabulary.items() if w.endswith(suffix)]] = True
+    return out
+
+
 def _folds(kept: types.ModuleType, c: str) -> bool:
     """Whether the tokenizer's own normalizer takes a letter and its lower case for the same. A capital sigma's depends on what stands beside it."""
     if c == "Σ":
@@ -82,21 +98,67 @@ def _parts(word: str, kept: types.ModuleType) -> tuple[str, str]:
     return (own.lower() if kept.folds and all(_folds(kept, c) for c in set(own)) else own), end
 
 
-def _word_ids(words: list[str], path: str, dtype: str) -> list[bytes]:
-    """Ids of each word, as bytes; what was seen before is remembered."""
+def _encode_each(some: list[str], kept: types.ModuleType, dtype: str) -> list[bytes]:
+    """Ids of words, each on its own."""
+    found = [e.ids for e in kept.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+    stops = np.cumsum([len(x) for x in found]) * np.dtype(dtype).itemsize
+    raw = np.fromiter(chain.from_iterable(found), dtype=dtype, count=-1).tobytes()
+    return [raw[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
+
+
+def _encode_letters(some: list[str], kept: types.ModuleType, dtype: str) -> list[bytes]:
+    """Ids of words of letters, many to a call: each gives one piece at least, so that as many ends as words mean one piece each."""
+    if kept.closes is None:
+        return _encode_each(some, kept, dtype)
+    out = []
+    groups = [some[k : k + JOINED] for k in range(0, len(some), JOINED)]
+    for words, e in zip(groups, kept.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        ids = np.array(e.ids, dtype=dtype)
+        stops = ((np.flatnonzero(kept.closes[ids]) + 1) * ids.itemsize).tolist()
+        if len(stops) == len(words):
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+        else:
+            out += _encode_each(words, kept, dtype)
+    return out
+
+
+def _encode_new(new: list[str], kept: types.ModuleType, dtype: str) -> None:
+    """Adds words to those remembered, and the parts of them that are encoded."""
+    parts = [_parts(w, kept) for w in new]
+    ends = {m: np.array(kept.ids(m), dtype=dtype).tobytes() for m in MARKS} | {"": b""}
+    todo = {w for w, _ in parts if w not in kept.words}
+    letters = [w for w in todo if w.isalpha()]
+    todo.difference_update(letters)
+    for words, encode in ((letters, _encode_letters), (list(todo), _encode_each)):
+        for at in range(0, len(words), 20_000):
+            some = words[at : at + 20_000]
+            kept.words.update(zip(some, encode(some, kept, dtype), strict=True))
+    kept.words.update((w, kept.words[own] + ends[m]) for w, (own, m) in zip(new, parts, strict=True) if w != own)
+
+
+def _word_ids(words: pa.Array, path: str, dtype: str) -> pa.Array:
+    """Ids of each word, as bytes; what was seen before is remembered. Words of ASCII letters are folded and cut by column, as _parts does."""
     kept = _load(path, dtype)
     if len(kept.words) > REMEMBERED:
         kept.words.clear()
-    parts = [_parts(w, kept) for w in words]
-    ends = {m: np.array(kept.ids(m), dtype=dtype).tobytes() for m in MARKS} | {"": b""}
-    new = list({w for w, _ in parts if w not in kept.words})
-    for at in range(0, len(new), 20_000):
-        some = new[at : at + 20_000]
-        found = [e.ids for e in kept.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-        stops = np.cumsum([len(x) for x in found]) * np.dtype(dtype).itemsize
-        raw = np.fromiter(chain.from_iterable(found), dtype=dtype, count=-1).tobytes()
-        kept.words.update(zip(some, [raw[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)], strict=True))
-    return [kept.words[w] + ends[m] for w, m in parts]
+    words = words.cast(pa.large_string())
+    plain = pc.match_substring_regex(words, "^[A-Za-z]+[.,]?$" if kept.cuts else "^[A-Za-z]+$")
+    own = pc.utf8_rtrim(words, "".join(MARKS))
+    coded = pc.if_else(plain, pc.ascii_lower(own) if kept.folds else own, words).dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    ids = list(map(kept.words.get, names))
+    at = [k for k, x in enumerate(ids) if x is None]
+    if at:
+        new = [names[k] for k in at]
+        _encode_new(new, kept, dtype)
+        for k, w in zip(at, new, strict=True):
+            ids[k] = kept.words[w]
+    raw = lambda x: pa.scalar(x, pa.large_binary())
+    mark = raw(b"")
+    for m in MARKS:
+        mark = pc.if_else(pc.and_(plain, pc.ends_with(words, m)), raw(np.array(kept.ids(m), dtype=dtype).tobytes()), mark)
+    return pc.binary_join_element_wise(pa.array(ids, pa.large_binary()).take(coded.indices), mark, raw(b""))
 
 
 def _encoded(texts: pa.Array, path: str, by_word: bool, end_id: int, dtype: str) -> Iterator[bytes]:
@@ -105,11 +167,13 @@ def _encoded(texts: pa.Array, path: str, by_word: bool, end_id: int, dtype: str)
         for t in texts.to_pylist():
             yield np.array(_load(path, dtype).tokenizer.encode(t or "", add_special_tokens=False).ids, dtype=dtype).tobytes() + end
         return
-    codes, words, offsets = flat_words(texts)
-    ids = _word_ids(words, path, dtype)
-    take = ids.__getitem__
-    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        yield b"".join(map(take, codes[a:b].tolist())) + end
+    codes, words, offsets = coded_words(texts)
+    flat = _word_ids(words, path, dtype).take(pa.array(codes))
+    _, stops, data = flat.buffers()
+    stops = np.frombuffer(stops, np.int64)[flat.offset : flat.offset + len(flat) + 1][offsets].tolist() if len(flat) else [0] * len(offsets)
+    data = memoryview(data) if data else memoryview(b"")
+    for a, b in zip(stops[:-1], stops[1:], strict=True):
+        yield bytes(data[a:b]) + end
 
 
 def local_path(uri: str) -> str | None:

@@ -39,3 +39,37 @@ def test_random_text():
     texts = ["".join(rng.choice(list(pools[k % len(pools)] + (pools[(k * 7) % len(pools)] if k % 3 else "")), 60)) for k in range(6000)]
     whole, own = both(texts)
     assert [t for t, a, b in zip(texts, whole, own, strict=True) if a != b] == []
+
+
+class Counting:
+    """A tokenizer that counts the texts that it is given."""
+
+    def __init__(self, own):
+        self.own, self.met = own, 0
+
+    def __getattr__(self, name):
+        return getattr(self.own, name)
+
+    def encode_batch_fast(self, texts, **k):
+        self.met += len(texts)
+        return self.own.encode_batch_fast(texts, **k)
+
+
+def test_words_of_letters_are_encoded_many_at_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdeéñжщǅ"), 9)) for _ in range(5000)]
+    texts = [" ".join(words[k : k + 50]) + "." for k in range(0, 5000, 50)] + ["ab Σ ΑΣ İX ढ़ cd", "ab12 a-b don't x"]
+    kept = tokens._load(P.path("word_bpe_49k.json"), "<u2")
+    kept.words.clear()
+    monkeypatch.setattr(kept, "tokenizer", Counting(kept.tokenizer))
+    whole, own = both(texts)
+    assert whole == own
+    assert kept.tokenizer.met < 500
+
+
+def test_parts_by_column_are_those_of_each_word():
+    words = ["ab", "Ab.", "AB,", "ab..", "a.b", ".", ",", "", "É.", "İ.", "x1", "'s", "Ab.,", "q\n"]
+    kept = tokens._load(P.path("word_bpe_49k.json"), "<u2")
+    kept.words.clear()
+    want = [np.array(kept.ids(w), "<u2").tobytes() for w in words]
+    assert tokens._word_ids(pa.array(words), P.path("word_bpe_49k.json"), "<u2").to_pylist() == want
