@@ -111,7 +111,7 @@ def in_box(requests: DataFrame, places: DataFrame) -> DataFrame:
     grown = requests.select("qid", "box", F.explode(F.array(*map(F.lit, classes)) if classes else F.expr("cast(array() as array<int>)")).alias("class"))
     half = F.when(F.col("class") == SMALLEST_CLASS, F.lit(2.0**SMALLEST_CLASS)).otherwise(F.pow(F.lit(2.0), F.col("class"))) / 2 + 1e-9
     grown = grown.withColumn("grown", geo.bbox(F.col("box.min_lon") - half, F.col("box.min_lat") - half, F.col("box.max_lon") + half, F.col("box.max_lat") + half))
-    return area_join(boxed, grown, ("lon", "lat"), "grown", on=("class",)).where(geo.boxes_intersect(F.col("box"), F.col("p_box"))).select("qid", "place_id")
+    return area_join(boxed, grown, ("lon", "lat"), "grown", on=("class",), parts=4).where(geo.boxes_intersect(F.col("box"), F.col("p_box"))).select("qid", "place_id")
 
 
 #: Size classes of boxes begin at 2 to this power, in degrees.
