@@ -15,7 +15,7 @@ from placelake.operators.cells import area_join, near_join, nearest_reach, shape
 from placelake.schema import HOUSE, LOCALITY, POI, STREET
 
 REVERSE_LAYERS = (HOUSE, POI, STREET, LOCALITY)
-#: Metres: long segments of lines are found by points between their ends, this far apart at most.
+#: Metres: segments of lines are found by their ends and points between them, this far apart at most.
 PIECE = 1000.0
 EVERYWHERE = 20_037_600.0  # half the Earth's girth, rounded up
 
@@ -41,39 +41,55 @@ def _lined() -> Column:
     return F.size(F.coalesce("lines", F.expr(_NO_LINES))) > 0
 
 
-def _dense(line: Column) -> Column:
-    """A line's points, and points between them where its segments are longer than PIECE, so that PIECE apart at most."""
-    n = F.greatest(F.size(line) - 1, F.lit(0))
+def _pieces(places: DataFrame) -> DataFrame:
+    """place_id, a, b (a segment of its lines, or where it is found by one point alone, that point twice), k, parts (0 for a point), v_lon, v_lat.
 
-    def piece(a: Column, b: Column) -> Column:
-        parts = F.greatest(F.ceil(1.5 * geo.haversine(a["lon"], a["lat"], b["lon"], b["lat"]) / PIECE), F.lit(1))
-        return F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda k: F.struct((a["lon"] + (b["lon"] - a["lon"]) * k / parts).alias("lon"), (a["lat"] + (b["lat"] - a["lat"]) * k / parts).alias("lat")))
-
-    return F.concat(F.flatten(F.zip_with(F.slice(line, 1, n), F.slice(line, 2, n), piece)), F.slice(line, -1, 1))
+    A segment is found by points that cut it in `parts` of PIECE at most, on a plane tangent within five degrees of it.
+    """
+    centre = F.struct(F.col("lon").alias("lon"), F.col("lat").alias("lat"))
+    ends = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
 
+    def segments(line: Column) -> Column:
+        n = F.size(line) - 1
+        return F.when(n >= 1, F.zip_with(F.slice(line, 1, n), F.slice(line, 2, n), lambda a, b: ends(a, b).withField("one", F.lit(False)))).when(n == 0, F.transform(line, lambda a: ends(a, a).withField("one", F.lit(True)))).otherwise(F.slice(F.transform(line, lambda a: ends(a, a).withField("one", F.lit(True))), 1, 0))
 
-def _vertices(places: DataFrame) -> tuple[DataFrame, float]:
-    """(place_id, v_lon, v_lat): the points that a place is found by, and by how much its nearest point can be nearer than those."""
-    if "lines" not in places.columns:
-        return places.select("place_id", F.col("lon").alias("v_lon"), F.col("lat").alias("v_lat")), 0.0
-    at = F.when(_lined(), F.flatten(F.transform("lines", _dense))).otherwise(F.array(F.struct("lon", "lat")))
-    cut = places.select("place_id", F.explode(at).alias("v"))
-    return cut.select("place_id", F.col("v.lon").alias("v_lon"), F.col("v.lat").alias("v_lat")), PIECE / 2
+    own = F.flatten(F.transform("lines", segments))
+    alone = F.array(ends(centre, centre).withField("one", F.lit(True)))
+    cut = places.select("place_id", "lon", "lat", own.alias("own")).select("place_id", F.explode(F.when(F.size("own") > 0, F.col("own")).otherwise(alone)).alias("s"))
+    cut = cut.select("place_id", F.col("s.one").alias("one"), *(F.col(f"s.{e}.{c}").alias(f"{e}_{c}") for e in "ab" for c in ("lon", "lat")))
+    low = F.when(F.col("a_lat") * F.col("b_lat") < 0, F.lit(0.0)).otherwise(F.greatest(F.least(F.abs("a_lat"), F.abs("b_lat")) - 5, F.lit(0.0)))
+    length = geo.DEGREE * F.sqrt(F.pow(F.col("b_lat") - F.col("a_lat"), 2) + F.pow((F.col("b_lon") - F.col("a_lon")) * F.cos(F.radians(low)), 2))
+    cut = cut.withColumn("parts", F.when(F.col("one"), F.lit(0).cast("long")).otherwise(F.greatest(F.ceil(length / PIECE), F.lit(1).cast("long"))))
+    cut = cut.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts"))))
+    at = lambda c: F.col(f"a_{c}") + (F.col(f"b_{c}") - F.col(f"a_{c}")) * F.col("k") / F.greatest(F.col("parts"), F.lit(1).cast("long"))
+    return cut.drop("one").withColumns({"v_lon": at("lon"), "v_lat": at("lat")})
 
 
 def within(requests: DataFrame, places: DataFrame) -> DataFrame:
     """Pairs (qid, place_id, distance) with a distance of at most the request's radius. requests: qid, lon, lat, radius."""
     places = places.where(geo.valid("lon", "lat"))
-    points, pad = _vertices(places)
-    asked = requests.select("qid", F.col("lon").alias("q_lon"), F.col("lat").alias("q_lat"), "radius", (F.col("radius") * 1.01 + pad + 1).alias("_reach"))
-    pairs = near_join(asked, points, "_reach", ("q_lon", "q_lat"), ("v_lon", "v_lat"))
-    if "lines" in places.columns:
-        pairs = pairs.select("qid", "q_lon", "q_lat", "radius", "place_id").distinct()
-        shape = places.select("place_id", F.col("lon").alias("p_lon"), F.col("lat").alias("p_lat"), F.col("lines").alias("p_lines"))
-        pairs = pairs.join(shape, "place_id").withColumn("distance", geo.place_distance("q_lon", "q_lat"))
-    else:
-        pairs = pairs.withColumn("distance", geo.haversine("q_lon", "q_lat", "v_lon", "v_lat"))
-    return pairs.where("distance <= radius").select("qid", "place_id", "distance")
+    asked = requests.select("qid", F.col("lon").alias("q_lon"), F.col("lat").alias("q_lat"), "radius")
+    if "lines" not in places.columns:
+        points = places.select("place_id", F.col("lon").alias("v_lon"), F.col("lat").alias("v_lat"))
+        pairs = near_join(asked.withColumn("_reach", F.col("radius") * 1.01 + 1), points, "_reach", ("q_lon", "q_lat"), ("v_lon", "v_lat"))
+        return pairs.withColumn("distance", geo.haversine("q_lon", "q_lat", "v_lon", "v_lat")).where("distance <= radius").select("qid", "place_id", "distance")
+    # metres on the plane that the distance is of, to the nearest of the points that a segment is found by, and what they may be on the sphere, where parallels widen towards the equator
+    plane, cos = F.col("radius") + PIECE / 2, F.cos(F.radians("q_lat"))
+    wide = F.greatest(F.cos(F.radians(F.greatest(F.abs("q_lat") - plane / geo.DEGREE, F.lit(0.0)))) / F.greatest(cos, F.lit(1e-9)), F.lit(1.0))
+    asked = asked.withColumns({"q_cos": cos, "_reach": F.least(plane * 1.01 * F.sqrt(wide) + 1, F.lit(EVERYWHERE * 1.01))})
+    pairs = near_join(asked, _pieces(places), "_reach", ("q_lon", "q_lat"), ("v_lon", "v_lat"))
+    # most fall out by their own distance; of the points of a segment the nearest alone makes a pair
+    cos, metres = F.col("q_cos"), geo.DEGREE
+    east, north = (F.col("v_lon") - F.col("q_lon")) * cos, F.col("v_lat") - F.col("q_lat")
+    pairs = pairs.where((F.col("parts") == 0) | (east * east + north * north <= F.pow(plane * 1.001 / metres, 2)))
+    # geo.segment_distance step by step, a column for each: as one expression it is more code than the JVM compiles
+    keys = ["qid", "q_lon", "q_lat", "radius", "place_id"]
+    pairs = pairs.select(*keys, "a_lon", "a_lat", "k", "parts", *(((F.col(f"{e}_lon") - F.col("q_lon")) * cos * metres).alias(f"{e}x") for e in "ab"), *(((F.col(f"{e}_lat") - F.col("q_lat")) * metres).alias(f"{e}y") for e in "ab"))
+    pairs = pairs.withColumns({"dx": F.col("bx") - F.col("ax"), "dy": F.col("by") - F.col("ay")}).withColumn("size", F.expr("dx * dx + dy * dy"))
+    pairs = pairs.withColumn("t", F.expr("case when size > 0 then greatest(0d, least(1d, -(ax * dx + ay * dy) / size)) else 0d end")).withColumns({"x": F.expr("ax + t * dx"), "y": F.expr("ay + t * dy")})
+    far = F.when(F.col("parts") == 0, geo.haversine("q_lon", "q_lat", "a_lon", "a_lat")).when(F.col("k") == F.floor(F.col("t") * F.col("parts") + 0.5), F.expr("sqrt(x * x + y * y)"))
+    pairs = pairs.select(*keys, far.alias("far")).select(*keys, F.explode(F.array("far")).alias("distance")).where("distance <= radius")  # exploded, so that the filter isn't moved before the steps
+    return pairs.groupBy(*keys).agg(F.min("distance").alias("distance")).select("qid", "place_id", "distance")
 
 
 def nearest(requests: DataFrame, places: DataFrame, k: int = 5, most: float | None = None) -> DataFrame:
