@@ -65,19 +65,19 @@ def _pieces(places: DataFrame) -> DataFrame:
     return cut.drop("one").withColumns({"v_lon": at("lon"), "v_lat": at("lat")})
 
 
-def within(requests: DataFrame, places: DataFrame) -> DataFrame:
-    """Pairs (qid, place_id, distance) with a distance of at most the request's radius. requests: qid, lon, lat, radius."""
+def within(requests: DataFrame, places: DataFrame, steps: int = 2) -> DataFrame:
+    """Pairs (qid, place_id, distance) with a distance of at most the request's radius. requests: qid, lon, lat, radius; steps: see near_join()."""
     places = places.where(geo.valid("lon", "lat"))
     asked = requests.select("qid", F.col("lon").alias("q_lon"), F.col("lat").alias("q_lat"), "radius")
     if "lines" not in places.columns:
         points = places.select("place_id", F.col("lon").alias("v_lon"), F.col("lat").alias("v_lat"))
-        pairs = near_join(asked.withColumn("_reach", F.col("radius") * 1.01 + 1), points, "_reach", ("q_lon", "q_lat"), ("v_lon", "v_lat"))
+        pairs = near_join(asked.withColumn("_reach", F.col("radius") * 1.01 + 1), points, "_reach", ("q_lon", "q_lat"), ("v_lon", "v_lat"), steps)
         return pairs.withColumn("distance", geo.haversine("q_lon", "q_lat", "v_lon", "v_lat")).where("distance <= radius").select("qid", "place_id", "distance")
     # metres on the plane that the distance is of, to the nearest of the points that a segment is found by, and what they may be on the sphere, where parallels widen towards the equator
     plane, cos = F.col("radius") + PIECE / 2, F.cos(F.radians("q_lat"))
     wide = F.greatest(F.cos(F.radians(F.greatest(F.abs("q_lat") - plane / geo.DEGREE, F.lit(0.0)))) / F.greatest(cos, F.lit(1e-9)), F.lit(1.0))
     asked = asked.withColumns({"q_cos": cos, "_reach": F.least(plane * 1.01 * F.sqrt(wide) + 1, F.lit(EVERYWHERE * 1.01))})
-    pairs = near_join(asked, _pieces(places), "_reach", ("q_lon", "q_lat"), ("v_lon", "v_lat"))
+    pairs = near_join(asked, _pieces(places), "_reach", ("q_lon", "q_lat"), ("v_lon", "v_lat"), steps)
     # most fall out by their own distance; of the points of a segment the nearest alone makes a pair
     cos, metres = F.col("q_cos"), geo.DEGREE
     east, north = (F.col("v_lon") - F.col("q_lon")) * cos, F.col("v_lat") - F.col("q_lat")
@@ -101,13 +101,12 @@ def nearest(requests: DataFrame, places: DataFrame, k: int = 5, most: float | No
     one = F.when(_lined(), F.struct(F.col("lines")[0][0]["lon"].alias("lon"), F.col("lines")[0][0]["lat"].alias("lat"))).otherwise(F.struct("lon", "lat")) if "lines" in places.columns else F.struct("lon", "lat")
     counted = places.where(geo.valid("lon", "lat")).select(one.alias("c")).select(F.col("c.lon").alias("c_lon"), F.col("c.lat").alias("c_lat"))
     asked = nearest_reach(requests.select("qid", "lon", "lat"), counted, k, ("lon", "lat"), ("c_lon", "c_lat"), min(most or EVERYWHERE, EVERYWHERE))
-    return _ranked(within(asked.withColumnRenamed("_radius", "radius"), places), k, "distance", "place_id")
+    return _ranked(within(asked.withColumnRenamed("_radius", "radius"), places, 1), k, "distance", "place_id")
 
 
 def reverse(requests: DataFrame, places: DataFrame, radius: float = 1000.0, limit: int = 1, layers=REVERSE_LAYERS) -> DataFrame:
-    """The nearest places of address layers within a radius: qid, place_id, distance, rank."""
-    hits = within(requests.withColumn("radius", F.lit(float(radius))), keep(places, layers))
-    return _ranked(hits, limit, "distance", "place_id")
+    """The nearest places of address layers within a radius: qid, place_id, distance, rank. No request looks further than `limit` of them lie for sure."""
+    return nearest(requests, keep(places, layers), limit, float(radius))
 
 
 def in_box(requests: DataFrame, places: DataFrame) -> DataFrame:
