@@ -140,6 +140,24 @@ def spatial_only(hits: DataFrame, places: DataFrame, limit: int, with_focus: boo
     return _ranked(own.withColumn("score", score), limit, F.desc("score"), "place_id")
 
 
+def best_near(requests: DataFrame, places: DataFrame, limit: int, digits: int, r: Ranking = Ranking()) -> DataFrame:
+    """spatial_only() of all places (place_id, lon, lat, importance of 0 to 1) within each request's radius, scores rounded: qid, place_id, score, rank.
+
+    The `limit` nearest places, whatever their importance, set the score that counts at least. Even the most important
+    place can't reach it from further than a distance that follows; only up to there, or the radius, places are looked at.
+    """
+    own = places.select("place_id", "lon", "lat", "importance")
+    k_th = nearest(requests, own.select("place_id", "lon", "lat"), limit).where(F.col("rank") == limit).select("qid", F.col("distance").alias("k_th"))
+    bias, scale = min(1.0, max(0.0, r.location_bias)), max(1.0, r.location_bias_scale_km * 1000)
+    least = (1.0 - bias) + bias * F.exp(-F.col("k_th") / scale) - 2 * 10.0**-digits
+    over = (least / (1 + 1e-3) - (1.0 - bias)) / (bias or 1.0)  # what is left there of the part that falls with distance
+    far = F.when((F.col("k_th") <= F.col("radius")) & (over > 0), -scale * F.log(over) * 1.000001 + 1)
+    asked = requests.join(k_th.hint("merge"), "qid", "left").withColumn("radius", F.least(F.coalesce(far, F.col("radius")), F.col("radius"))).drop("k_th")
+    hits = within(asked, own.select(F.struct("place_id", "importance").alias("place_id"), "lon", "lat"))  # importance goes along
+    scored = hits.select("qid", "place_id.place_id", F.round(proximity(F.col("distance"), r) * (1 + F.col("place_id.importance") * 1e-3), digits).alias("score"))
+    return _ranked(scored, limit, F.desc("score"), "place_id")
+
+
 def containing(requests: DataFrame, places: DataFrame, layers=(), least_layer: int = LOCALITY) -> DataFrame:
     """Areas that hold each request point (qid, lon, lat), most specific first: qid, place_id, rank.
 
